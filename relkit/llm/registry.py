@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from relkit.llm import decontaminate, substring_dedup
+from relkit.llm import decontaminate, omh_dedup, substring_dedup
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
+    "op8_omh_dedup": omh_dedup.query,
     "op9_substring_dedup": substring_dedup.query,
 }
 
