@@ -1,10 +1,11 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from relkit.llm import decontaminate, langid, omh_dedup, substring_dedup
+from relkit.llm import decontaminate, langid, media, omh_dedup, substring_dedup
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_decontaminate": decontaminate.query,
+    "op4_media": media.query,
     "op8_omh_dedup": omh_dedup.query,
     "op9_substring_dedup": substring_dedup.query,
 }
