@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from relkit.llm import decontaminate, langid, media, omh_dedup, substring_dedup
+from relkit.llm import decontaminate, langid, media, omh_dedup, substring_dedup, warc
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -8,9 +8,11 @@ QUERIES = {
     "op4_media": media.query,
     "op8_omh_dedup": omh_dedup.query,
     "op9_substring_dedup": substring_dedup.query,
+    "op10_warc": warc.query,
 }
 
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
