@@ -1,11 +1,12 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from relkit.llm import decontaminate, html_wrapper, langid, media, omh_dedup, substring_dedup, warc
+from relkit.llm import decontaminate, html_wrapper, langid, media, omh_dedup, pii, substring_dedup, warc
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_decontaminate": decontaminate.query,
     "op4_media": media.query,
+    "op5_pii": pii.query,
     "op7_html_wrapper": html_wrapper.query,
     "op8_omh_dedup": omh_dedup.query,
     "op9_substring_dedup": substring_dedup.query,
