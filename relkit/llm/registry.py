@@ -1,10 +1,11 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from relkit.llm import decontaminate, html_wrapper, langid, media, omh_dedup, pii, substring_dedup, warc
+from relkit.llm import decontaminate, html_wrapper, langid, line_dedup, media, omh_dedup, pii, substring_dedup, warc
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_media": media.query,
     "op5_pii": pii.query,
     "op7_html_wrapper": html_wrapper.query,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_warc": warc.ORACLE,
 }
