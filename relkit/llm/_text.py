@@ -88,6 +88,37 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         lo = hi
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges in ascending order that don't overlap."""
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(out):
+        at = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, at + HASH_BYTES, "right")))
+        part = data[at : ends[hi - 1]]
+        power, inverse = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * power[: len(part)], out=total[1:])
+        a, b = starts[lo:hi] - at, ends[lo:hi] - at
+        out[lo:hi] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        lo = hi
+    return out
+
+
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    out = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    some = sizes > 0
+    s, n = starts[some], sizes[some]
+    if len(s):
+        at = np.concatenate(([0], np.cumsum(n)[:-1]))
+        out[at[0]] = s[0]
+        out[at[1:]] = s[1:] - (s[:-1] + n[:-1] - 1)
+        np.cumsum(out, out=out)
+    return out
+
+
 class Words:
     """The words of consecutive texts: byte ranges, the text each belongs to, and 64-bit hashes."""
 
@@ -105,26 +136,11 @@ class Words:
         self.text = np.searchsorted(offsets, self.starts, "right") - 1
         #: words of text i are first[i] to first[i + 1]
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hash()
+        self.hashes = range_hashes(data, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    def _hash(self) -> np.ndarray:
-        out = np.empty(len(self.starts), np.uint64)
-        lo = 0
-        while lo < len(out):
-            at = self.starts[lo]
-            hi = max(lo + 1, int(np.searchsorted(self.ends, at + HASH_BYTES, "right")))
-            part = self.data[at : self.ends[hi - 1]]
-            power, inverse = _powers(len(part) + 1)
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTES[part] * power[: len(part)], out=total[1:])
-            a, b = self.starts[lo:hi] - at, self.ends[lo:hi] - at
-            out[lo:hi] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-            lo = hi
-        return out
-
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they all belong to one text (len - k + 1 of each)."""
         n = max(0, len(self) - k + 1)

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from relkit.llm import decontaminate, html_wrapper, langid, line_dedup, media, omh_dedup, pii, substring_dedup, warc
+from relkit.llm import decontaminate, html_wrapper, langid, line_dedup, media, omh_dedup, pii, sentencepiece_scan, substring_dedup, warc
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_media": media.query,
     "op5_pii": pii.query,
+    "op6_sentencepiece": sentencepiece_scan.query,
     "op7_html_wrapper": html_wrapper.query,
     "op8_omh_dedup": omh_dedup.query,
     "op9_substring_dedup": substring_dedup.query,
