@@ -323,8 +323,10 @@ def _encode(known):
         v = known.value
         for batch in batches:
             texts = batch.column("__text")
-            full = pc.replace_substring(pc.binary_join_element_wise(" ", texts.cast(pa.large_string()), "") if v.dummy_prefix else texts.cast(pa.large_string()), " ", _SPACE)
-            full = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), full)
+            full = pc.replace_substring(texts.cast(pa.large_string()), " ", _SPACE)
+            if v.dummy_prefix:
+                lead, none = (pa.scalar(x, pa.large_string()) for x in (_SPACE, ""))
+                full = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), none, lead), full, none)
             parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for _, _, off, raw in slices(pa.RecordBatch.from_arrays([full], names=["text"]), "text"):
                 ids, n = encode_batch(v, off, raw)
