@@ -30,6 +30,10 @@ def natural(query: str, *columns) -> Column:
     return F.arrays_overlap(words(*columns), F.array(*map(F.lit, terms))) if terms else F.lit(False)
 
 
+def _begins(own: Column, start: str) -> Column:
+    return F.exists(own, lambda w: w.startswith(start))
+
+
 def boolean(query: str, *columns) -> Column:
     """`+must`, `-must not`, `"a phrase"`, `begins*`; with neither + nor phrase, any plain word must occur."""
     own = words(*columns)
@@ -42,7 +46,7 @@ def boolean(query: str, *columns) -> Column:
         if phrase:
             found = line.contains(" " + " ".join(_terms(phrase)) + " ")
         elif star:
-            found = F.exists(own, lambda w, p=word.lower(): w.startswith(p))
+            found = _begins(own, word.lower())
         else:
             found = F.array_contains(own, word.lower())
         (must if sign == "+" else never if sign == "-" else may).append(found)
