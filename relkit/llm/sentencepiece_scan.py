@@ -43,7 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relkit.llm._text import _BYTES, _powers, gather, range_hashes, slices, stash
+from relkit.llm._text import _BYTES as _MIXED
+from relkit.llm._text import _powers, gather, range_hashes, slices, stash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 1 << 16
@@ -54,9 +55,11 @@ SCALE = 10_000
 #: As in SentencePiece: an unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 _SPACE = "▁"
+#: Bytes of text and rows of ids that a worker handles at once.
+_BYTES, _ROWS = 1 << 20, 500
 _LONG = 96  # bytes of a segment that is solved in step with others
 _NEVER = -(1 << 60)
-_SLOTS = 20
+_SLOTS = 18
 
 
 def _wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -124,7 +127,12 @@ class Vocabulary:
                 at.append(np.full(1 << _SLOTS, -1, np.int32))
             keys[way][slot], at[way][slot] = key, x
         self.keys, self.at = keys, at
-        self.score_of = np.array([s for _, s, _ in raw], np.int64)
+        #: what a token adds to a text's score; of an unknown character's bytes, the first has it all
+        self.worth = np.zeros(len(pieces), np.int64)
+        self.worth[self.byte_ids[[b for b in range(256) if b & 0xC0 != 0x80]]] = self.unknown_score
+        for p, (x, i) in self.scores.items():
+            self.worth[i] = x
+        self.score_of = np.array([s for _, s, _ in raw], np.int32)
         self.id_of = np.array([i for _, _, i in raw], np.int32)
 
     @classmethod
@@ -179,11 +187,43 @@ class Vocabulary:
             value[p] = max(most, _NEVER)
         return take
 
+    def cuts(self, text: str) -> np.ndarray:
+        """The places (from 1 on) that no piece spans."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        lead = (data & 0xC0) != 0x80
+        cut = np.flatnonzero(~self.joined[data[:-1], data[1:]] & lead[1:]) + 1
+        return np.cumsum(lead)[cut] - 1
+
+    def ends(self, text: str, core: int) -> tuple[int, int] | None:
+        """The first and the last cut of a chunk, or None if some piece may span any place of it."""
+        found = self.cuts(text)
+        found = found[found <= core]
+        return (int(found[0]), int(found[-1])) if len(found) else None
+
+    def middle(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode(), np.uint8)
+        return encode_batch(self, np.array([0, len(data)]), data)[0]
+
     def transfer(self, text: str, core: int) -> np.ndarray:
-        """T[a, b]: best score from place a to place core + b (max-plus; _NEVER where there is no way)."""
+        """T[a, b]: best score from place a to place core + b (max-plus; _NEVER where there is no way).
+
+        Between two cuts there is one state, so T is the sum of the way to the first cut, of
+        what lies between, and of the way from the last cut on.
+        """
+        ends = self.ends(text, core)
+        if ends is None:
+            return self._transfer(text, core)
+        first, last = ends
+        to = self._transfer(text[:first], first)[:, 0]
+        on = self._transfer(text[last:], core - last)[0]
+        out = to[:, None] + on[None, :] + int(self.worth[self.middle(text[first:last])].sum())
+        out[(to < _NEVER // 2)[:, None] | (on < _NEVER // 2)[None, :]] = _NEVER
+        return out
+
+    def _transfer(self, text: str, core: int) -> np.ndarray:
         wide = self.longest
         value = np.full((core + wide, wide), _NEVER, np.int64)
-        for a in range(wide):
+        for a in range(min(wide, core + wide)):
             value[a, a] = 0
         for p in range(core):
             for n, s, _ in self.edges(text, p):
@@ -192,6 +232,25 @@ class Vocabulary:
         out[out < _NEVER // 2] = _NEVER
         return out
 
+    def exit(self, text: str, core: int, after: np.ndarray) -> list[int]:
+        """The state at a chunk's end for each state it is entered in."""
+        ends = self.ends(text, core)
+        if ends is not None:
+            _, last = ends
+            return [walk(self, text[last:], self.best(text[last:], core - last, after), 0)[1]] * self.longest
+        take = self.best(text, core, after)
+        return [walk(self, text, take, a)[1] if a < core else a - core for a in range(self.longest)]
+
+    def trace(self, text: str, core: int, after: np.ndarray, state: int) -> list[int]:
+        """The ids of a chunk that is entered in a state."""
+        ends = self.ends(text, core)
+        if ends is None:
+            return walk(self, text, self.best(text, core, after), state)[0]
+        first, last = ends
+        done = np.zeros(1, np.int64)
+        head = walk(self, text[:first], self.best(text[:first], first, done), state)[0]
+        return head + self.middle(text[first:last]).tolist() + walk(self, text[last:], self.best(text[last:], core - last, after), 0)[0]
+
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two transfer matrices; associative."""
@@ -203,7 +262,7 @@ def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndar
     power, inverse = _powers(len(data) + 1)
     if total is None:
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * power[: len(data)], out=total[1:])
+        np.cumsum(_MIXED[data] * power[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
     h ^= h >> np.uint64(31)
     return h * np.uint64(0xD6E8FEB86659FD93)
@@ -213,10 +272,10 @@ def _solve(v: Vocabulary, data: np.ndarray, begin: np.ndarray, size: np.ndarray)
     """Token ids of adjoining segments (at most _LONG bytes each) and how many each has."""
     n = len(data)
     lead = (data & 0xC0) != 0x80
-    left = np.repeat(begin + size, size) - np.arange(n)  # bytes up to the segment's end
+    left = (np.repeat(begin + size, size) - np.arange(n)).astype(np.int32)  # bytes up to the segment's end
     power, _ = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[:n], out=total[1:])
+    np.cumsum(_MIXED[data] * power[:n], out=total[1:])
     width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
     at, length, score, ids = [], [], [], []
     alone = lead.copy()  # characters that are no piece themselves
@@ -230,23 +289,23 @@ def _solve(v: Vocabulary, data: np.ndarray, begin: np.ndarray, size: np.ndarray)
         for way_keys, way_at in zip(v.keys, v.at):
             hit = np.flatnonzero((way_keys[slot] == keys) & (way_at[slot] >= 0))
             x = way_at[slot[hit]]
-            at.append(where[hit])
-            length.append(np.full(len(hit), k))
+            at.append(where[hit].astype(np.int32))
+            length.append(np.full(len(hit), k, np.int32))
             score.append(v.score_of[x])
             ids.append(v.id_of[x])
             single = where[hit][width[where[hit]] == k]
             alone[single] = False
     own = np.flatnonzero(alone)
-    at.append(own)
-    length.append(width[own])
-    score.append(np.full(len(own), v.unknown_score))
-    ids.append(np.full(len(own), -1))
+    at.append(own.astype(np.int32))
+    length.append(width[own].astype(np.int32))
+    score.append(np.full(len(own), v.unknown_score, np.int32))
+    ids.append(np.full(len(own), -1, np.int32))
     at, length, score, ids = map(np.concatenate, (at, length, score, ids))
     # from the segments' ends: all edges that begin so far from the end, by place, the longest first
-    order = np.lexsort((-length, at, left[at]))
+    order = np.argsort((left[at].astype(np.int64) << 48) | (at.astype(np.int64) << 8) | (255 - length), kind="stable")
     at, length, score, ids = at[order], length[order], score[order], ids[order]
     bounds = np.searchsorted(left[at], np.arange(1, int(size.max(initial=0)) + 2))
-    value, take = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+    value, take = np.zeros(n + 1, np.int64), np.zeros(n, np.int32)
     ending = np.zeros(n + 1, bool)
     ending[begin + size] = True
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -327,15 +386,12 @@ def _encode(known):
             if v.dummy_prefix:
                 lead, none = (pa.scalar(x, pa.large_string()) for x in (_SPACE, ""))
                 full = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), none, lead), full, none)
-            parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for _, _, off, raw in slices(pa.RecordBatch.from_arrays([full], names=["text"]), "text"):
+            rest = batch.drop_columns(["__text"])
+            null = texts.is_null().to_numpy(zero_copy_only=False)
+            for lo, hi, off, raw in slices(pa.RecordBatch.from_arrays([full], names=["text"]), "text", _BYTES):
                 ids, n = encode_batch(v, off, raw)
-                parts.append(ids)
-                counts.append(n)
-            sizes = np.concatenate(counts)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "__text"), lists], names=[*(c for c in batch.schema.names if c != "__text"), "__ids"])
+                offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32(), mask=np.append(null[lo:hi], False))
+                yield rest.slice(lo, hi - lo).append_column("__ids", pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
 
     return run
 
@@ -352,7 +408,10 @@ def _giant(rows: DataFrame, known) -> DataFrame:
                 for c, at in enumerate(range(0, len(said), core)):
                     yield pd.DataFrame({"row": [row], "chunk": [c], "core": [min(core, len(said) - at)], "said": [said[at : at + core + wide - 1]]})
 
-    chunks = stash(rows.mapInPandas(split, "row bigint, chunk int, core int, said string").repartition("row", "chunk"), "chunks")
+    # chunks are few megabytes of much work: by number, or they would be put together by their size
+    n = rows.agg(F.sum(F.ceil(F.length("__text") / CHUNK))).first()[0]
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 64))
+    chunks = rows.mapInPandas(split, "row bigint, chunk int, core int, said string").repartition(parts, "row", "chunk")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -371,10 +430,7 @@ def _giant(rows: DataFrame, known) -> DataFrame:
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = known.value
         for batch in batches:
-            maps = []
-            for said, core, after in zip(batch["said"], batch["core"], batch["after"]):
-                take = v.best(said, core, np.frombuffer(after, np.int64))
-                maps.append([walk(v, said, take, a)[1] if a < core else a - core for a in range(wide)])
+            maps = [v.exit(said, core, np.frombuffer(after, np.int64)) for said, core, after in zip(batch["said"], batch["core"], batch["after"])]
             yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "exits": maps})
 
     def entries(group: pd.DataFrame) -> pd.DataFrame:
@@ -388,7 +444,7 @@ def _giant(rows: DataFrame, known) -> DataFrame:
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = known.value
         for batch in batches:
-            found = [walk(v, said, v.best(said, core, np.frombuffer(after, np.int64)), state)[0] for said, core, after, state in zip(batch["said"], batch["core"], batch["after"], batch["state"])]
+            found = [v.trace(said, core, np.frombuffer(after, np.int64), state) for said, core, after, state in zip(batch["said"], batch["core"], batch["after"], batch["state"])]
             yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "ids": found})
 
     after = stash(chunks.select("row", "chunk", "said", "core").mapInPandas(matrices, "row bigint, chunk int, matrix binary").groupBy("row").applyInPandas(values, "row bigint, chunk int, after binary"), "values")
@@ -419,8 +475,10 @@ def decode(tokens: DataFrame, *, ids: str = "ids", text: str = "decoded", model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = known.value
         for batch in batches:
-            said = [None if x is None else v.decode(x) for x in (y.values.to_numpy(zero_copy_only=False).tolist() if y.is_valid else None for y in batch.column(ids))]
-            yield batch.append_column(text, pa.array(said, pa.string()))
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                said = [v.decode(y.values.to_numpy(zero_copy_only=False).tolist()) if y.is_valid else None for y in part.column(ids)]
+                yield part.append_column(text, pa.array(said, pa.string()))
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())]))
 
