@@ -6,6 +6,7 @@ slice of such a batch with numpy, so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python in batches of 1,000 rows at most: what a worker holds at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
+def trim() -> None:
+    """Give memory that is free in this worker back to the system, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  not every libc has it
+except (OSError, AttributeError):
+    _LIBC = None
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if not _POWERS or len(_POWERS[0]) < n:
@@ -86,6 +108,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
         yield lo, hi, off[lo : hi + 1] - off[lo], raw[off[lo] : off[hi]]
         lo = hi
+    trim()
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

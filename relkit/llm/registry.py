@@ -1,6 +1,16 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from relkit.llm import decontaminate, html_wrapper, langid, line_dedup, media, omh_dedup, pii, sentencepiece_scan, substring_dedup, warc
+from relkit.llm._text import small_batches
+
+
+def _bounded(query):
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -14,6 +24,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
     "op10_warc": warc.query,
 }
+QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,

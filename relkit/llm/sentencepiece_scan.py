@@ -381,35 +381,35 @@ def _encode(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = known.value
         for batch in batches:
-            texts = batch.column("__text")
+            texts = batch.column("text")
             full = pc.replace_substring(texts.cast(pa.large_string()), " ", _SPACE)
             if v.dummy_prefix:
                 lead, none = (pa.scalar(x, pa.large_string()) for x in (_SPACE, ""))
                 full = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), none, lead), full, none)
-            rest = batch.drop_columns(["__text"])
+            rest = batch.drop_columns(["text"])
             null = texts.is_null().to_numpy(zero_copy_only=False)
             for lo, hi, off, raw in slices(pa.RecordBatch.from_arrays([full], names=["text"]), "text", _BYTES):
                 ids, n = encode_batch(v, off, raw)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32(), mask=np.append(null[lo:hi], False))
-                yield rest.slice(lo, hi - lo).append_column("__ids", pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
+                yield rest.slice(lo, hi - lo).append_column("ids", pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())))
 
     return run
 
 
 def _giant(rows: DataFrame, known) -> DataFrame:
-    """(__row, __ids) of giant rows(__row, __text), by the chunked scan."""
+    """(id, ids) of giant rows(id, text), by the chunked scan."""
     wide = known.value.longest
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row, text in zip(batch["__row"], batch["__text"]):
+            for row, text in zip(batch["id"], batch["text"]):
                 said = known.value.normal(text)
                 core = max(CHUNK, -(-len(said) // CHUNKS))
                 for c, at in enumerate(range(0, len(said), core)):
                     yield pd.DataFrame({"row": [row], "chunk": [c], "core": [min(core, len(said) - at)], "said": [said[at : at + core + wide - 1]]})
 
     # chunks are few megabytes of much work: by number, or they would be put together by their size
-    n = rows.agg(F.sum(F.ceil(F.length("__text") / CHUNK))).first()[0]
+    n = rows.agg(F.sum(F.ceil(F.length("text") / CHUNK))).first()[0]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 64))
     chunks = rows.mapInPandas(split, "row bigint, chunk int, core int, said string").repartition(parts, "row", "chunk")
 
@@ -451,21 +451,21 @@ def _giant(rows: DataFrame, known) -> DataFrame:
     ready = chunks.join(after, ["row", "chunk"])
     state = ready.mapInPandas(exits, "row bigint, chunk int, exits array<int>").groupBy("row").applyInPandas(entries, "row bigint, chunk int, state int")
     ids = ready.join(state, ["row", "chunk"]).mapInPandas(trace, "row bigint, chunk int, ids array<int>")
-    return ids.groupBy(F.col("row").alias("__row")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("__ids"))
+    return ids.groupBy(F.col("row").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def encode(docs: DataFrame, *, text: str = "text", ids: str = "ids", model: str = MODEL, giant: int = GIANT) -> DataFrame:
     """docs and a column of token ids."""
     known = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    full = F.col(f"`{text}`")
-    plain = docs.where(F.coalesce(F.length(full) <= giant, F.lit(True))).withColumn("__text", full)
-    out = plain.mapInArrow(_encode(known), T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType()))]))
-    long = stash(docs.where(F.length(full) > giant).withColumn("__row", F.monotonically_increasing_id()), "giants")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(whole.alias("row"), F.col(text).alias("text"))
+    plain = rows.where(F.coalesce(F.length("text") <= giant, F.lit(True)))
+    out = plain.mapInArrow(_encode(known), T.StructType([T.StructField("row", docs.schema), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    long = stash(rows.where(F.length("text") > giant).withColumn("id", F.monotonically_increasing_id()), "giants")
     if not long.isEmpty():
-        found = _giant(long.select("__row", full.alias("__text")), known)
-        out = out.union(long.join(found, "__row").select(*columns, "__ids"))
-    return out.withColumnRenamed("__ids", ids)
+        found = _giant(long.select("id", "text"), known)
+        out = out.union(long.join(found, "id").select("row", "ids"))
+    return out.select("row.*", F.col("ids").alias(ids))
 
 
 def decode(tokens: DataFrame, *, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
