@@ -127,15 +127,16 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text: str = "text", **options) -> DataFrame:
-    """docs without its contaminated rows, or (remove='spans') without the words that were hit."""
-    found = scan(docs, benchmark, text=text, **options)
+    """docs without its contaminated rows, or (remove='spans') without the words that were hit; all columns are kept."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    found = scan(docs.select(whole.alias("row"), F.col(text).alias("text")), benchmark, text="text", **options)
     if remove == "documents":
-        return found.where("size(__hits) = 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+        return found.where("size(__hits) = 0").select("row.*")
     # spans are byte ranges: keep what lies between them
     ranges = "array_sort(transform(__hits, h -> struct(h.byte_start as s, h.byte_end as e)))"
-    raw = f"encode(`{text}`, 'UTF-8')"
+    raw = "encode(text, 'UTF-8')"
     kept = f"aggregate({ranges}, named_struct('out', cast('' as binary), 'to', 0L), (a, h) -> named_struct('out', concat(a.out, substring({raw}, cast(a.to + 1 as int), cast(greatest(0L, h.s - a.to) as int))), 'to', greatest(a.to, h.e)), a -> decode(concat(a.out, substring({raw}, cast(a.to + 1 as int), 2147483647)), 'UTF-8'))"
-    return found.withColumn(text, F.when(F.expr("size(__hits) > 0"), F.expr(kept)).otherwise(F.col(f"`{text}`"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.select(F.col("row").withField(f"`{text}`", F.when(F.expr("size(__hits) > 0"), F.expr(kept)).otherwise(F.col("text"))).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

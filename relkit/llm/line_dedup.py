@@ -29,7 +29,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,11 +66,11 @@ def later_copies(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
     return now.join(first, "rank").where("struct(doc, pos) <> first").select("doc", "pos")
 
 
-def _cut(columns: list[str], min_lines: int):
+def _cut(min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, copies in zip(batch.column("__text"), batch.column("__copies")):
+            for text, copies in zip(batch.column("text"), batch.column("copies")):
                 text, n, gone = text.as_py(), 0, 0
                 if text is not None:
                     lines = text.split("\n")
@@ -79,37 +78,37 @@ def _cut(columns: list[str], min_lines: int):
                     n = len(own)
                     if copies.is_valid:
                         at = {p + j for p in copies.as_py() for j in range(min_lines)}
-                        gone = len(at)
                         cut = {own[p] for p in at if p < n}
+                        gone = len(cut)
                         text = "\n".join(x for i, x in enumerate(lines) if i not in cut)
                 texts.append(text)
                 counts.append(n)
                 removed.append(gone)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "__kept", "__lines", "__removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["row", "kept", "n_lines", "n_removed"])
 
     return run
 
 
 def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """docs, and the columns __kept (the text without later copies), __lines (not blank) and __removed."""
+    """row (all columns of docs), kept (the text without later copies), n_lines (not blank) and n_removed."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
-    rows = docs.withColumns({"__doc": F.col(doc_id).cast("bigint"), "__text": F.col(text)})
-    copies = later_copies(rows.select(F.col("__doc").alias("doc"), F.col("__text").alias("text")), min_lines=min_lines)
-    copies = copies.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("pos").alias("__copies"))
-    out = T.StructType([*docs.schema.fields, *T.StructType().add("__kept", "string").add("__lines", "long").add("__removed", "long").fields])
-    return rows.join(copies, "__doc", "left").drop("__doc").mapInArrow(_cut(docs.columns, min_lines), out)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(whole.alias("row"), F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    copies = later_copies(rows.select("doc", "text"), min_lines=min_lines).groupBy("doc").agg(F.collect_list("pos").alias("copies"))
+    out = T.StructType([T.StructField("row", docs.schema), *T.StructType().add("kept", "string").add("n_lines", "long").add("n_removed", "long").fields])
+    return rows.join(copies, "doc", "left").select("row", "text", "copies").mapInArrow(_cut(min_lines), out)
 
 
 def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs with later copies of line runs cut out of `text`; rows of which no line is left go."""
-    found = cut(docs, doc_id=doc_id, text=text, min_lines=min_lines).where("__removed = 0 or __removed < __lines")
-    return found.withColumn(text, F.col("__kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = cut(docs, doc_id=doc_id, text=text, min_lines=min_lines).where("n_removed = 0 or n_removed < n_lines")
+    return found.select(F.col("row").withField(f"`{text}`", F.col("kept")).alias("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = """
