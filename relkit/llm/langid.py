@@ -5,8 +5,8 @@ A text is lower-cased, every run of non-letters becomes one space, and its byte
 length 1.  Each language has CLUSTERS centroids from spherical k-means on its training
 texts.  The prediction is the language of the centroid of greatest cosine, the score
 that cosine.  A text is *rejected* if it is further from that centroid than its radius:
-its cosine is under REACH times that of the centroid's most distant training text, and
-under MOST, so that a far-off text in training narrows no radius and short texts stay.
+its cosine is under REACH times what all but 1 in 100 of the centroid's training texts
+reach, and under MOST, so that short texts stay.
 
 Training sees text and lang of labelled rows outside the held-out fold (crc32 of the
 doc_id mod 5 = 0) only.  It takes a sample of about PER_LANG rows a language, picked by
@@ -39,8 +39,8 @@ DIM = 1 << 13
 CLUSTERS = 3
 #: About so many training rows a language.
 PER_LANG = 1500
-#: Rejected below this share of the least cosine in training, but never from MOST on.
-REACH = 0.5
+#: Rejected below this share of the cosine that all but FAR of the training texts reach, but never from MOST on.
+REACH, FAR = 0.5, 0.01
 MOST = 0.06
 _ROWS = 512
 _LETTER = np.zeros(256, bool)
@@ -87,7 +87,7 @@ def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first starts: centroids, and the least cosine of each one's members."""
+    """Spherical k-means from farthest-first starts: centroids, and the cosine that all but few of each one's members reach."""
     picked = [_unit(x.mean(0, keepdims=True))[0]]
     near = x @ picked[0]
     for _ in range(min(k, len(x)) - 1):
@@ -97,10 +97,12 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndar
     for _ in range(rounds):
         of = (x @ centres.T).argmax(1)
         centres = np.stack([_unit(x[of == j].mean(0, keepdims=True))[0] if (of == j).any() else centres[j] for j in range(len(centres))])
+    # a cluster of a stray text or two is none of the language's
+    size = np.bincount((x @ centres.T).argmax(1), minlength=len(centres))
+    centres = centres[size >= min(size.max(), max(3, len(x) / 100))]
     cosine = x @ centres.T
     of = cosine.argmax(1)
-    used = [j for j in range(len(centres)) if (of == j).any()]
-    return centres[used], np.array([cosine[of == j, j].min() for j in used])
+    return centres, np.array([np.quantile(cosine[of == j, j], FAR) if (of == j).any() else 0.0 for j in range(len(centres))])
 
 
 def fold(doc_id: Column) -> Column:
