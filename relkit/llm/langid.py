@@ -42,6 +42,8 @@ PER_LANG = 1500
 #: Rejected below this share of the cosine that all but FAR of the training texts reach, but never from MOST on.
 REACH, FAR = 0.5, 0.01
 MOST = 0.06
+#: More languages than this are an error: it bounds what is broadcast (about 100 KB a language).
+MOST_LANGS = 1000
 _ROWS = 512
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -120,9 +122,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, *, per_lang: int = PER_LANG, clusters: int = CLUSTERS) -> dict | None:
     """The model from docs(doc_id, text, lang), or None without labelled rows."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang", "text")
-    share = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_lang / F.col("count")).alias("share"))
-    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
+    rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "lang", "text")
+    share = stash(rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_lang / F.col("count")).alias("share")), "langid-share")
+    if share.count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: is lang the right column?")
+    picked = rows.join(F.broadcast(share), "lang").where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
     sample = stash(picked.select("lang", "text"), "langid-sample")
     seen = {r.place: r.n for r in sample.select("text").mapInArrow(_frequencies, "place bigint, n double").groupBy("place").agg(F.sum("n").alias("n")).collect()}
     if not seen.get(-1):
