@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relkit.llm import decontaminate, langid, line_dedup, omh_dedup, sentencepiece_scan
-from relkit.llm._text import stash
+from relkit.llm._text import small_batches, stash
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
-STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("contamination", contamination), ("tokens", tokens)]
+def _bounded(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _bounded(f)) for f in (language, lines, near_duplicates, contamination, tokens)]
 
 #: Language ID, alignment and segmentation are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
