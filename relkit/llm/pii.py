@@ -44,17 +44,19 @@ FORMS = ["Dr", "Prof", "Доктор"]
 GIVEN_M = ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Paul", "Hans", "Klaus", "Jürgen", "Pierre", "Jean", "Jacques", "José", "Juan", "Carlos", "Иван", "Сергей", "Алексей"]
 GIVEN_F = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Anna", "Maria", "Ursula", "Monika", "Marie", "Sophie", "Camille", "Carmen", "Lucía", "Мария", "Ольга", "Елена"]
 
+# Every alternative but the last begins where no letter or digit stands before; cheap looks
+# ahead and possessive repeats keep the pattern from trying much at each of those places.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-_IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
-_SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_EMAIL = r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+_IP = rf"(?=\d)(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
+_SECRET = r"(?:(?=[0-9a-f]{8})[0-9a-f]{32,64}|(?=[0-9A-F]{8})[0-9A-F]{32,64}|(?=[Ags])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}))(?![A-Za-z0-9])"
+_IBAN = r"(?=[A-Z]{2}\d)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _PHONE = r"(?<![\w+])\+\d{1,3}(?:[ .-]{0,1}\(?\d{1,4}\)?){2,5}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.])0\d(?:[ .-]\d{2}){4}(?!\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+_CARD = r"(?=\d)(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
 _NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
-_PERSON = rf"(?<!\p{{L}})(?:(?:{'|'.join(FORMS_M + FORMS_F + FORMS)})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(GIVEN_M + GIVEN_F)}) {_NAME})(?!\p{{L}})"
-PATTERN = "|".join((_EMAIL, _IP, _SECRET, _IBAN, _PHONE, _SSN, _CARD, _PERSON))
+_PERSON = rf"(?=\p{{Lu}})(?:(?:{'|'.join(FORMS_M + FORMS_F + FORMS)})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(GIVEN_M + GIVEN_F)}) {_NAME})(?!\p{{L}})"
+PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{_EMAIL}|{_IP}|{_SECRET}|{_IBAN}|(?=[\d+(])(?:{_PHONE}|{_SSN})|{_PERSON})|{_CARD}"
 
 _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηιο"}
 _CONSONANTS = {"latin": "bcdfghjklmnprstvz", "cyrillic": "бвгдзклмнпрст", "greek": "βγδκλμνπρστ"}
@@ -161,20 +163,22 @@ def _rendered(mention: str) -> str:
 
 def replace(docs: DataFrame, *, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """docs with every entity in `text` replaced; `count` names a column for the number of mentions."""
-    found = docs.withColumn("__mentions", F.expr(f"regexp_extract_all(`{text}`, {_sql(PATTERN)}, 0)"))
-    hit = stash(found.where("size(__mentions) > 0").withColumn("__row", F.monotonically_increasing_id()), "mentions")
-    parts = hit.select("__row", F.explode(F.array_distinct("__mentions")).alias("m")).select("__row", F.explode(F.expr(_parts("m"))).alias("p")).where("p.kind <> ''")
-    own = parts.select("__row", "p.kind", F.expr(_canonical("p.kind", "p.said")).alias("canonical")).distinct()
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(whole.alias("row"), F.col(text).alias("text"))
+    found = rows.withColumn("mentions", F.expr(f"regexp_extract_all(text, {_sql(PATTERN)}, 0)"))
+    hit = stash(found.where("size(mentions) > 0").withColumn("id", F.monotonically_increasing_id()), "mentions")
+    parts = hit.select("id", F.explode(F.array_distinct("mentions")).alias("m")).select("id", F.explode(F.expr(_parts("m"))).alias("p")).where("p.kind <> ''")
+    own = parts.select("id", "p.kind", F.expr(_canonical("p.kind", "p.said")).alias("canonical")).distinct()
     given = surrogates(stash(own.select("kind", "canonical").distinct(), "entities"), key=key)
-    known = own.join(given, ["kind", "canonical"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canonical"), "surrogate"))).alias("known"))
-    gaps = f"split(`{text}`, {_sql(PATTERN)}, -1)"
+    known = own.join(given, ["kind", "canonical"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canonical"), "surrogate"))).alias("known"))
+    gaps = f"split(text, {_sql(PATTERN)}, -1)"
     # gaps and mentions take turns: one gap more than mentions
     written = f"array_join(transform({gaps}, (g, i) -> concat(g, coalesce(try_element_at(shown, i + 1), ''))), '')"
-    done = hit.join(known, "__row").withColumn("shown", F.expr(f"transform(__mentions, m -> {_rendered('m')})")).withColumn(text, F.expr(written))
-    clean = docs.where(F.coalesce(~F.col(f"`{text}`").rlike(PATTERN), F.lit(True)))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    extra = [F.size("__mentions").cast("bigint").alias(count)] if count else []
-    return clean.select(*columns, *([F.lit(0).cast("bigint").alias(count)] if count else [])).union(done.select(*columns, *extra))
+    done = hit.join(known, "id").withColumn("shown", F.expr(f"transform(mentions, m -> {_rendered('m')})"))
+    done = done.select(F.col("row").withField(f"`{text}`", F.expr(written)).alias("row"), F.size("mentions").cast("bigint").alias("n"))
+    clean = rows.where(F.coalesce(~F.col("text").rlike(PATTERN), F.lit(True))).select("row", F.lit(0).cast("bigint").alias("n"))
+    out = clean.union(done)
+    return out.select("row.*", F.col("n").alias(count)) if count else out.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
