@@ -62,7 +62,8 @@ def later_copies(docs: DataFrame, *, min_lines: int = MIN_LINES) -> DataFrame:
         now, length = _ranked(_ahead(now, length), ["rank", "then"]), 2 * length
     if length < min_lines:
         now = _ranked(_ahead(now, min_lines - length), ["rank", "then"])
-    first = now.groupBy("rank").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    # written, so that both sides of the join are dealt anew and Spark can split the rows of a hot rank
+    first = stash(now.groupBy("rank").agg(F.min(F.struct("doc", "pos")).alias("first")), "line-firsts")
     return now.join(first, "rank").where("struct(doc, pos) <> first").select("doc", "pos")
 
 

@@ -40,6 +40,8 @@ from relkit.llm._text import NONSPACE, Words, covered, sliding_min, slices
 K = 13
 #: Words of the m-grams that minimizers are chosen from.
 M = 5
+#: Bytes of text whose equal edges are put together before a shuffle.
+SLICE = 4 << 20
 
 
 def _grouped(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
@@ -66,7 +68,7 @@ def _anchors(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column("doc").to_numpy(zero_copy_only=False)
-            for lo, _, off, raw in slices(batch, "text"):
+            for lo, _, off, raw in slices(batch, "text", SLICE):
                 words = Words(off, raw, NONSPACE)
                 edges, whole, least = _edges(words, k, m)
                 # neighbours mostly share their minimizer: keep the first of each run before sorting
@@ -84,7 +86,7 @@ def _candidates(k: int, m: int):
             docs = batch.column("doc").to_numpy(zero_copy_only=False)
             solid, bounds = batch.column("solid").flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column("solid").value_lengths().to_numpy(zero_copy_only=False)
             bounds = np.concatenate(([0], np.cumsum(bounds)))
-            for lo, hi, off, raw in slices(batch, "text"):
+            for lo, hi, off, raw in slices(batch, "text", SLICE):
                 words = Words(off, raw, NONSPACE)
                 edges, whole, least = _edges(words, k, m)
                 of = words.text[: len(edges)]
@@ -162,7 +164,7 @@ def _cut(k: int):
         for batch in _unpacked(batches):
             out: list[list] = [[], [], [], []]
             lists = batch.column("repeated")
-            for lo, hi, off, raw in slices(batch, "text"):
+            for lo, hi, off, raw in slices(batch, "text", SLICE):
                 words = Words(off, raw, NONSPACE)
                 edges, whole = words.windows(k)
                 for i in range(lo, hi):

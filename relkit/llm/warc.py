@@ -104,7 +104,9 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
     """Archives of the pages: content (the bytes of a .warc.zst file), and the page and offset of each record."""
     rows = pages.select(F.col(page_id).cast("bigint").alias("page"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     digested = rows.withColumn("payload_digest", F.sha2("html", 256))
+    # written, so that both sides of the join are dealt anew and Spark can split the rows of a hot payload
     firsts = digested.where(F.octet_length("html") >= min_revisit).groupBy("payload_digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    firsts = stash(firsts, "payloads")
     typed = digested.join(firsts, "payload_digest", "left").withColumn("refers_to", F.expr("if(page <> first, first, null)"))
     n = rows.count()
     sample = rows.where(F.octet_length("html") <= SAMPLE_BYTES).where(F.pmod(F.xxhash64("page", "url"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30)).select("html")
