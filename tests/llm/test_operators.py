@@ -466,6 +466,32 @@ def test_near_duplicates(spark):
     assert {x.doc_id: x.class_id for x in found.collect()} == brute_classes(docs)
 
 
+def test_near_duplicates_around_one_original(spark):
+    """Copies that each are near their original, whose id is in the midst of theirs, but not near each other; and texts that share a passage."""
+    rng, vocabulary = random.Random(5), [f"w{i}" for i in range(5000)]
+
+    def edited(words):
+        words = list(words)
+        for at in rng.sample(range(len(words)), 5):
+            words[at] = rng.choice(vocabulary)
+        return words
+
+    base, passage = rng.choices(vocabulary, k=300), rng.choices(vocabulary, k=150)
+    groups = [[edited(base) for _ in range(12)] + [base] + [edited(base) for _ in range(12)]]
+    for _ in range(8):
+        text = passage + rng.choices(vocabulary, k=150)
+        groups.append([text, edited(text)])
+    groups += [[passage + rng.choices(vocabulary, k=150)] for _ in range(20)]
+    docs, want = [], {}
+    for group in groups:
+        first = len(docs)
+        for words in group:
+            want[len(docs)] = first
+            docs.append((len(docs), " ".join(words)))
+    found = omh_dedup.classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {r.doc_id: r.class_id for r in found.collect()} == want
+
+
 def test_alignment_is_the_longest_in_order():
     r = random.Random(1)
     for _ in range(40):
