@@ -22,6 +22,13 @@ back, so a hot bucket is a skewed join key, which Spark splits.  Texts stay wher
 are: what is shuffled is 200 bytes of sketches a document, and the packed shingles of
 documents that are in a candidate pair.
 
+Pivots are the cheap first step and may miss links; the last one misses none.  The members
+of buckets that are open in the end meet by a prefix filter: shingles are put in one order,
+rarest first by counts in PLACES hashed places, and two texts at 0.8 or more have one of
+their first n - ceil(0.8 n) + 1 shingles in common.  Pairs of one group, or too far apart
+in length or position for 0.8, are left out of that join, which has on one side only what
+is outside the largest group of its key; all others are aligned.
+
 Edge cases: a null, empty or wordless text is linked to nothing and is a class of its own;
 a null doc_id gets a null class and is linked to nothing; rows with the same doc_id and
 words share their class; extra columns are ignored.
@@ -33,11 +40,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relkit.llm._text import ALNUM, LOWER, Words, mix, slices, stash
+from relkit.llm._text import ALNUM, LOWER, Words, gather, mix, slices, stash
 from relkit.llm.components import components
 
 K = 5
@@ -46,6 +54,8 @@ SKETCHES = 24
 PER_SKETCH = 3
 #: Neighbouring sketches that agree in a bucket, round by round.
 DEPTHS = (1, 2, 4, 8)
+#: Hashed places in which shingles are counted, and how many a row of counts holds.
+PLACES, _ROW = 1 << 20, 1 << 10
 #: Most candidate ids that are broadcast to pick their documents (16 bytes each); beyond, a shuffled join.
 BROADCAST_IDS = 2_000_000
 
@@ -177,28 +187,108 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(ends[0], "a").join(ends[1], "b").where("la <> lb")
 
 
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels(id, label) with the groups at both ends of found(a, b) joined up."""
+    between = _labelled(stash(found, "links"), labels).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    joined = components(between).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    return stash(labels.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, label) of the members of buckets that are in several groups."""
+    grouped = stash(members.join(labels, members.rep == labels.id).select("bucket", "rep", "label"), "grouped")
+    still = stash(grouped.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "open")
+    return stash(grouped.join(still, "bucket").select("rep", "label").distinct(), "left")
+
+
 def _groups(docs: DataFrame, reps: DataFrame, depths: tuple[int, ...], **options) -> DataFrame:
     """(id, label) of reps(rep, sketch): the least rep that links of docs(doc, text) lead to."""
-    labels, left, tried = reps.select(F.col("rep").alias("id"), F.col("rep").alias("label")).distinct(), reps, None
+    labels, left, tried, widest = reps.select(F.col("rep").alias("id"), F.col("rep").alias("label")).distinct(), reps, None, None
     for depth in depths:
         members, pairs = _met(left, depth)
-        if tried is not None:
+        if tried is None:
+            widest = members
+        else:
             pairs = _labelled(pairs, labels).select("a", "b").join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        found = links(docs, pairs, **options)
-        if depth != depths[0]:
-            found = _labelled(stash(found, "links"), labels).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        joined = components(found).select(F.col("id").alias("label"), F.col("label").alias("to"))
-        labels = stash(labels.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+        labels = _merged(labels, links(docs, pairs, **options))
         if depth == depths[-1]:
             break
-        grouped = stash(members.join(labels, members.rep == labels.id).select("bucket", "rep", "label"), "grouped")
-        still = stash(grouped.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "open")
-        left = stash(reps.join(grouped.join(still, "bucket").select("rep").distinct(), "rep").select("rep", "sketch"), "left")
+        left = stash(reps.join(_open(members, labels).select("rep"), "rep").select("rep", "sketch"), "left")
         if left.isEmpty():
             break
-    return labels
+    last = _open(widest, labels)
+    if last.isEmpty():
+        return labels
+    pairs = stash(_near(docs, last, **options).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return _merged(labels, links(docs, pairs, **options))
+
+
+def _frequencies(k: int):
+    """How many shingles fall in each place, _ROW places a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for _, _, off, raw in slices(batch, "text"):
+                labels, _ = shingles(Words(off, LOWER[raw], ALNUM), k)
+                total += np.bincount(_places(labels), minlength=PLACES)
+        rows = total.reshape(-1, _ROW)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[i].tobytes() for i in some], pa.binary())], names=["row", "counts"])
+
+    return run
+
+
+def _places(labels: np.ndarray) -> np.ndarray:
+    return (mix(labels) % np.uint64(PLACES)).astype(np.int64)
+
+
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(_ROW, np.int64)
+    for x in group["counts"]:
+        total += np.frombuffer(x, np.int64)
+    return pd.DataFrame({"row": group["row"].iloc[:1], "counts": [total.tobytes()]})
+
+
+def _prefixes(known, k: int, similarity: float):
+    """Each text's shingles that come first, the rarest, in one order of all: one at least is shared at the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, off, raw in slices(batch, "text"):
+                labels, first = shingles(Words(off, LOWER[raw], ALNUM), k)
+                n = np.diff(first)
+                labels = labels[np.lexsort((labels, known.value[_places(labels)], np.repeat(np.arange(len(n)), n)))]
+                most = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(most))), pa.int32()), pa.array(labels[gather(first[:-1], most)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(lo, hi - lo), pa.array(n, pa.int64()), keys], names=["rep", "n", "keys"])
+
+    return run
+
+
+def _near(docs: DataFrame, last: DataFrame, *, k: int = K, similarity: float = SIMILARITY) -> DataFrame:
+    """pairs(a, b) of last(rep, label) in different groups, with every one whose alignment can reach the similarity."""
+    texts = docs.join(F.broadcast(last) if last.count() <= BROADCAST_IDS else last, docs.doc == last.rep, "left_semi").select("doc", "text")
+    counted = texts.mapInArrow(_frequencies(k), "row bigint, counts binary").groupBy("row").applyInPandas(_added, "row bigint, counts binary").collect()
+    total = np.zeros((PLACES // _ROW, _ROW), np.int64)
+    for r in counted:
+        total[r.row] = np.frombuffer(r.counts, np.int64)
+    known = docs.sparkSession.sparkContext.broadcast(total.ravel())
+    # rows of one doc_id and text meet once only
+    firsts = texts.mapInArrow(_prefixes(known, k, similarity), "rep bigint, n bigint, keys array<bigint>").distinct()
+    keyed = stash(firsts.join(last, "rep").select("rep", "label", "n", F.posexplode("keys").alias("at", "key")).select("key", "rep", "label", "n", (F.col("n") - F.col("at")).alias("rest")), "prefixes")
+    groups = keyed.groupBy("key", "label").agg(F.count("*").alias("members"))
+    mixed = stash(groups.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("label", F.struct("members", "label")).alias("largest")).where("groups > 1").select("key", "largest"), "mixed")
+    met = stash(keyed.join(mixed, "key"), "met")
+    x = met.where("label <> largest").select("key", *(F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "rest")))
+    y = met.select("key", *(F.col(c).alias(f"{c}_y") for c in ("rep", "label", "n", "rest")), (F.col("label") == F.col("largest")).alias("in_largest"))
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n_x") + F.col("n_y")) - F.lit(1e-9))
+    # a pair outside the largest group is there twice: once is enough
+    found = x.join(y, "key").where((F.col("in_largest") & (F.col("label_x") != F.col("label_y"))) | (~F.col("in_largest") & (F.col("label_x") < F.col("label_y"))))
+    found = found.where((F.least("n_x", "n_y") >= need) & (F.least("rest_x", "rest_y") >= need))
+    return found.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def _content(k: int):

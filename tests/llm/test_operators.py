@@ -492,6 +492,20 @@ def test_near_duplicates_around_one_original(spark):
     assert {r.doc_id: r.class_id for r in found.collect()} == want
 
 
+def test_near_duplicates_within_a_template(spark):
+    """Texts of one template, near each other in pairs by little more than it: they meet in the buckets of all only."""
+    rng, vocabulary = random.Random(8), [f"w{i}" for i in range(5000)]
+    template, docs = rng.choices(vocabulary, k=250), []
+    for _ in range(40):
+        own = rng.choices(vocabulary, k=3)
+        docs += [" ".join(template + own + rng.choices(vocabulary, k=30)) for _ in range(2)]
+    docs = list(enumerate(docs))
+    want = brute_classes(docs)
+    assert want == {i: i - i % 2 for i in range(80)}
+    found = omh_dedup.classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {r.doc_id: r.class_id for r in found.collect()} == want
+
+
 def test_alignment_is_the_longest_in_order():
     r = random.Random(1)
     for _ in range(40):
