@@ -7,9 +7,11 @@
    occurs in a row a repeated group, texts become slots.  The result is the host's wrapper.
 3. A wrapper's slots are judged: those in menus, headers, footers, asides, forms, adverts,
    notices or comments are not content; of the rest those within an article or main
-   element are.  A host without such an element keeps the slots whose text differs from
-   page to page and is not mostly links.
-4. Each page is read by its host's wrapper: the texts of content slots, in page order.
+   element are main.  Others are content if they are not mostly links and their text
+   differs from page to page, or was seen on one distinct page only: there is nothing to
+   compare it with.
+4. Each page is read by its host's wrapper: the texts of main slots where the page has
+   some, else those of other content slots, in page order.
 
 Scale: pages are parsed where they are read, twice; what is shuffled is templates and
 slot statistics, pre-aggregated by host.  Alignment is associative, so a host with a third
@@ -216,17 +218,22 @@ def slots(node: list, path: str = "") -> list[str]:
 
 
 def content(wrapper: list, seen: dict[str, tuple[int, int, bool]]) -> list[str]:
-    """The slots that are content; seen: characters, characters in links and whether the text varies, by slot."""
+    """The slots that are content; seen: characters, characters in links and whether the text varies or has no other to compare with, by slot."""
     usable = [s for s in slots(wrapper) if "!" not in s]
-    main = [s for s in usable if "*" in s]
-    return main or [s for s in usable if seen.get(s, (0, 0, False))[2] and 2 * seen[s][1] < seen[s][0]]
+    return [s for s in usable if "*" in s or seen.get(s, (0, 0, False))[2] and 2 * seen[s][1] < seen[s][0]]
+
+
+def main_text(found: list[tuple[str, str, int]], own: frozenset) -> str:
+    """The texts of a page's main slots, or of its other content slots where it has no main ones."""
+    texts = [(path, t) for path, t, _ in found if path in own]
+    return "\n".join([t for path, t in texts if "*" in path] or [t for _, t in texts])
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
 
 
-_SLOTS = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("said", pa.int64())]))
+_SLOTS = pa.list_(pa.struct([("slot", pa.string()), ("chars", pa.int64()), ("links", pa.int64()), ("said", pa.int64()), ("page", pa.int64())]))
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +246,10 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = by_slot.setdefault(path, [0, 0, []])
                 s[0], s[1] = s[0] + len(text), s[1] + links
                 s[2].append(text)
+            whole = _hash("\n".join(f"{path} {text}" for path, text, _ in found))
             hosts.append(host_of(url.as_py()))
             templates.append(json.dumps(template, ensure_ascii=False, separators=(",", ":")))
-            stats.append([{"slot": p, "chars": c, "links": k, "said": _hash("\n".join(t))} for p, (c, k, t) in by_slot.items()])
+            stats.append([{"slot": p, "chars": c, "links": k, "said": _hash("\n".join(t)), "page": whole} for p, (c, k, t) in by_slot.items()])
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(templates, pa.string()), pa.array(stats, _SLOTS)], names=["host", "template", "slots"])
 
 
@@ -255,7 +263,7 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
 
 def wrappers(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """host, template (the aligned tree as JSON), slots (array of its content slots)."""
-    seen = stash(pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(_templates, "host string, template string, slots array<struct<slot:string,chars:bigint,links:bigint,said:bigint>>"), "templates")
+    seen = stash(pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(_templates, "host string, template string, slots array<struct<slot:string,chars:bigint,links:bigint,said:bigint,page:bigint>>"), "templates")
     merged = seen.groupBy("host", "template").agg(F.lit(1)).select("host", "template")
     while True:
         # distinct templates of a host, in groups of about GROUP by their hash
@@ -263,7 +271,7 @@ def wrappers(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataF
         merged = stash(salted.groupBy("host", "salt").applyInPandas(_merged, "host string, template string"), "wrappers")
         if merged.groupBy("host").count().where("count > 1").isEmpty():
             break
-    stats = seen.select("host", F.inline("slots")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("said") < F.max("said")).alias("varies"))
+    stats = seen.select("host", F.inline("slots")).groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), ((F.min("said") < F.max("said")) | (F.min("page") == F.max("page"))).alias("varies"))
     judged = merged.join(stats.groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "links", "varies")).alias("seen")), "host", "left")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,7 +289,7 @@ def _texts(known, has_slots: bool):
             for i, (url, page) in enumerate(zip(batch.column("url"), batch.column("html"))):
                 own = batch.column("slots")[i].as_py() if has_slots else known.value.get(host_of(url.as_py()), ())
                 own = frozenset(own or ())
-                texts.append("\n".join(t for path, t, _ in blocks(page.as_py() or "")[1] if path in own))
+                texts.append(main_text(blocks(page.as_py() or "")[1], own))
             yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(texts, pa.string())], names=["page", "url", "text"])
 
     return run

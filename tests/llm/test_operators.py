@@ -409,6 +409,16 @@ def test_html_text(spark):
     assert html_wrapper.extract(docs.limit(0)).count() == 0
 
 
+def test_html_is_decided_page_by_page(spark):
+    """Hosts of two layouts, of one page and its copy, and pages without a host."""
+    plain = '<nav>Menu</nav><div class=top>Site</div><div class=story><p>{}</p></div><div class=links><a href="/">{}</a></div>'
+    pages = [(1, "http://mixed.org/1", "<article><p>within</p></article>"), (2, "http://mixed.org/2", plain.format("first", "a")), (3, "http://mixed.org/3", plain.format("second", "b"))]
+    pages += [(4, "http://one.org/", plain.format("only", "c")), (5, "http://copy.org/", plain.format("same", "d")), (6, "http://copy.org/", plain.format("same", "d"))]
+    pages += [(7, None, "<main>without a host</main>"), (8, None, "<section><p>another site</p></section>"), (9, "nonsense", "<div><p>a third</p></div>")]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "within", 2: "first", 3: "second", 4: "Site\nonly", 5: "Site\nsame", 6: "Site\nsame", 7: "without a host", 8: "another site", 9: "a third"}
+
+
 def test_html_by_join_where_wrappers_are_many(spark, monkeypatch):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     near = {r.page_id: r.text for r in html_wrapper.extract(pages).collect()}
