@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,10 @@ SLICE_BYTES = 2 << 20
 #: Bytes that are hashed at once; bounds the temporary arrays for one very long text.
 HASH_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C13  # 3 mod 8: odd, hence invertible modulo 2**64
-_POWERS: list[np.ndarray] = []
-_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C13
+_PLACE = np.uint64(0xD1B54A32D192ED03)
+#: The first n of 8 little-endian bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Words of the decontamination contract: digits, letters and every byte from 0x80 on.
 ALNUM = np.zeros(256, bool)
@@ -37,19 +39,36 @@ LOWER[0x41:0x5B] += 0x20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one where the session names none and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="relkit-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_STASHED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/relkit-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STASHED[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stashed tables that nothing lazy reads any more."""
+    for table in tables:
+        path = _STASHED.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -73,18 +92,6 @@ except (OSError, AttributeError):
     _LIBC = None
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        _POWERS.clear()
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS[0], _POWERS[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(33))
@@ -112,20 +119,22 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges in ascending order that don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(out):
-        at = starts[lo]
-        hi = max(lo + 1, int(np.searchsorted(ends, at + HASH_BYTES, "right")))
-        part = data[at : ends[hi - 1]]
-        power, inverse = _powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTES[part] * power[: len(part)], out=total[1:])
-        a, b = starts[lo:hi] - at, ends[lo:hi] - at
-        out[lo:hi] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-        lo = hi
-    return out
+    """64-bit hashes of byte ranges: a sum over 8-byte pieces, each mixed with its place, so no pattern of bytes cancels out."""
+    whole = np.ndarray((len(data) + 1,), np.uint64, np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    sizes = ends - starts
+    out = mix(whole[starts] & _FIRST[np.minimum(sizes, 8)])
+    long = np.flatnonzero(sizes > 8)
+    pieces = (sizes[long] - 1) >> 3
+    upto = np.cumsum(pieces)
+    for lo in range(0, int(upto[-1]) if len(upto) else 0, HASH_BYTES >> 3):
+        n = np.arange(lo, min(lo + (HASH_BYTES >> 3), int(upto[-1])))
+        of = np.searchsorted(upto, n, "right")
+        nth = n - (upto[of] - pieces[of]) + 1
+        left = sizes[long[of]] - 8 * nth
+        said = mix((whole[starts[long[of]] + 8 * nth] & _FIRST[np.minimum(left, 8)]) ^ mix(nth.astype(np.uint64) * _PLACE))
+        head = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        out[long[of[head]]] += np.add.reduceat(said, head)
+    return mix(out + sizes.astype(np.uint64) * _PLACE)
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -160,6 +169,17 @@ class Words:
         #: words of text i are first[i] to first[i + 1]
         self.first = np.searchsorted(self.starts, offsets)
         self.hashes = range_hashes(data, self.starts, self.ends)
+        self.offsets, self.inside = offsets, inside
+
+    def joined(self) -> list[bytes]:
+        """Each text's words, joined by one space."""
+        keep = np.append(self.inside, False)
+        keep[self.ends] = True
+        keep[self.offsets] = False
+        keep[self.starts] = True
+        at = np.concatenate(([0], np.cumsum(keep[:-1])))[self.offsets].tolist()
+        said = np.where(self.inside, self.data, 0x20).astype(np.uint8)[keep[:-1]].tobytes()
+        return [said[a:b].rstrip(b" ") for a, b in zip(at, at[1:])]
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -197,5 +217,3 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray
     np.add.at(change, starts, 1)
     np.add.at(change, np.minimum(starts + lengths, n), -1)
     return np.cumsum(change[:-1]) > 0
-
-

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relkit.llm._text import ALNUM, LOWER, Words, covered, slices, window_hashes
+from relkit.llm._text import ALNUM, LOWER, Words, slices, window_hashes
 
 N = 10
 #: Most bytes of benchmark text in one broadcast.

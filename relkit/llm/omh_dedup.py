@@ -36,6 +36,7 @@ words share their class; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -141,15 +142,9 @@ def _sketched(k: int, count: int, least: int):
                 labels, first = shingles(words, k)
                 found = sketches(labels, first, count, least)
                 some = np.diff(words.first) > 0
-                # 128 bits over the word sequence: equal for texts of the same words
-                n = np.arange(len(words)) - words.first[words.text] if len(words) else np.zeros(0, int)
-                halves = []
-                for seed in (_SEEDS[-2], _SEEDS[-3]):
-                    terms = mix((words.hashes ^ seed) + mix(n.astype(np.uint64) * seed))
-                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-                    halves.append(total[words.first[1:]] - total[words.first[:-1]])
-                digest = np.stack(halves, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(lo, hi - lo), pa.array([x.tobytes() if s else None for x, s in zip(digest, some)], pa.binary()), pa.array([x.tobytes() if s else None for x, s in zip(found, some)], pa.binary())], names=["doc", "digest", "sketch"])
+                # a cryptographic digest of the words themselves: equal for texts of the same words alone
+                digest = [hashlib.blake2b(x, digest_size=32).digest() for x in words.joined()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(lo, hi - lo), pa.array([x if s else None for x, s in zip(digest, some)], pa.binary()), pa.array([x.tobytes() if s else None for x, s in zip(found, some)], pa.binary())], names=["doc", "digest", "sketch"])
 
     return run
 

@@ -43,8 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relkit.llm._text import _BYTES as _MIXED
-from relkit.llm._text import _powers, gather, range_hashes, slices, stash
+from relkit.llm._text import gather, range_hashes, slices, stash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 1 << 16
@@ -60,6 +59,21 @@ _BYTES, _ROWS = 1 << 20, 500
 _LONG = 96  # bytes of a segment that is solved in step with others
 _NEVER = -(1 << 60)
 _SLOTS = 18
+_BASE = 0x9E3779B97F4A7C13  # 3 mod 8: odd, hence invertible modulo 2**64
+_POWERS: list[np.ndarray] = []
+_MIXED = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS[0], _POWERS[1]
 
 
 def _wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -258,7 +272,7 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
-    """Cheap 64-bit keys of byte ranges; the first bits are the best."""
+    """Cheap 64-bit keys of byte ranges as short as a piece; the first bits are the best."""
     power, inverse = _powers(len(data) + 1)
     if total is None:
         total = np.zeros(len(data) + 1, np.uint64)
@@ -336,6 +350,23 @@ def _solve(v: Vocabulary, data: np.ndarray, begin: np.ndarray, size: np.ndarray)
     return out[token], counts
 
 
+def _distinct(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of adjoining segments, and the kind of each; the bytes decide, hashes only find them."""
+    _, one, same = np.unique(range_hashes(data, begin, begin + size), return_index=True, return_inverse=True)
+    unlike = size != size[one[same]]
+    if not unlike.any():
+        # compared in parts, which bounds the arrays of places
+        for lo in range(0, len(begin), 1 << 15):
+            a, b = begin[lo : lo + (1 << 15)], size[lo : lo + (1 << 15)]
+            differs = data[gather(begin[one[same[lo : lo + (1 << 15)]]], b)] != data[a[0] : a[0] + b.sum()]
+            unlike[lo : lo + (1 << 15)] = np.logical_or.reduceat(differs, a - a[0])
+    if unlike.any():
+        kinds: dict[bytes, int] = {}
+        same = np.array([kinds.setdefault(data[a : a + n].tobytes(), len(kinds)) for a, n in zip(begin.tolist(), size.tolist())])
+        _, one = np.unique(same, return_index=True)
+    return one, same
+
+
 def encode_batch(v: Vocabulary, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of normal texts and how many each has."""
     if not len(data):
@@ -345,7 +376,7 @@ def encode_batch(v: Vocabulary, offsets: np.ndarray, data: np.ndarray) -> tuple[
     cut[offsets[:-1][offsets[:-1] < len(data)]] = True
     begin = np.flatnonzero(cut)
     size = np.diff(np.append(begin, len(data)))
-    _, one, same = np.unique(range_hashes(data, begin, begin + size), return_index=True, return_inverse=True)
+    one, same = _distinct(data, begin, size)
     short = size[one] <= _LONG
     counts, starts, parts, done = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), [], 0
     own = np.flatnonzero(short)

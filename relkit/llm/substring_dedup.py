@@ -26,7 +26,6 @@ document: they are no sources for each other.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from difflib import SequenceMatcher
 
@@ -71,6 +72,33 @@ def test_words_are_those_of_the_pattern(texts, k):
         assert len(set(hashes.values())) == len(hashes)
 
 
+def signs(n, a, b):
+    """The Thue-Morse word: hashes that are polynomials of the letters modulo a power of two take it for its inverse."""
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+SIGNS = [(signs(n, "a", "b"), signs(n, "b", "a")) for n in (1024, 2048, 4096)]
+
+
+@pytest.mark.parametrize("pair", SIGNS)
+def test_hashes_of_words_without_a_pattern_that_cancels_out(spark, vocabulary, pair):
+    raw = np.frombuffer(" ".join(pair).encode(), np.uint8)
+    words = Words(np.array([0, len(raw)]), raw, NONSPACE)
+    assert words.hashes[0] != words.hashes[1] and words.joined() == [" ".join(pair).encode()]
+    filler = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join([x, *filler])) for i, x in enumerate(pair)], "doc_id bigint, text string")
+    assert {r.n_removed for r in substring_dedup.dedup(docs).collect()} == {0}
+    assert {r.doc_id: r.rep_id for r in omh_dedup.classes(docs).collect()} == {0: 0, 1: 1}
+    out = by_id(sentencepiece_scan.decode(sentencepiece_scan.encode(docs)))
+    assert all(out[i].decoded == " ".join([x, *filler]) for i, x in enumerate(pair))
+
+
+def test_segments_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(sentencepiece_scan, "range_hashes", lambda data, a, b: np.zeros(len(a), np.uint64))
+    one, same = sentencepiece_scan._distinct(np.frombuffer(b"abcabdab", np.uint8), np.array([0, 3, 6]), np.array([3, 3, 2]))
+    assert len(one) == 3 and len(set(same)) == 3
+
+
 def test_arrays():
     assert gather(np.array([5, 0, 9]), np.array([2, 0, 3])).tolist() == [5, 6, 9, 10, 11]
     assert sliding_min(np.array([4, 2, 5, 1, 3]), 3).tolist() == [2, 1, 1]
@@ -419,6 +447,53 @@ def test_html_is_decided_page_by_page(spark):
     assert got == {1: "within", 2: "first", 3: "second", 4: "Site\nonly", 5: "Site\nsame", 6: "Site\nsame", 7: "without a host", 8: "another site", 9: "a third"}
 
 
+def test_html_template_is_what_pages_of_a_host_share(spark):
+    page = "<html><body><div>Our site</div><article class='post'><div class='article-header'><h1>{0}</h1></div><div>Tell a friend</div><div><h2>s{0}</h2><p>{1}</p><h2>t{0}</h2><p>more {1}</p></div><div class=comment-list>c{0}</div></article><div><a href=/>{0}</a></div></body></html>"
+    pages = [(i, "http://a.org/", page.format(f"title {i}", f"text {i}")) for i in range(6)]
+    # two pages are too few to take what they share from an article
+    pages += [(10 + i, "http://b.org/", page.format("title", f"text {i}")) for i in range(2)]
+    pages += [(20, "http://c.org/", "<div class='header-fixed sidebar-left'><h1>Title</h1><p>Real article text here.</p></div>")]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"title {i}\nstitle {i}\ntext {i}\nttitle {i}\nmore text {i}"
+    for i in range(2):
+        assert got[10 + i] == f"title\nTell a friend\nstitle\ntext {i}\nttitle\nmore text {i}"
+    assert got[20] == "Title\nReal article text here."
+
+
+def test_html_against_brute_force_without_landmarks(spark):
+    """Pages of random bodies in one frame, without article or main: the text is what differs from page to page, and no menu."""
+    rng, pages, want = random.Random(7), [], {}
+    for i in range(40):
+        host, blocks, text = i % 4, [], []
+        for j in range(rng.randint(1, 6)):
+            tag, said = rng.choice(["p", "h2", "blockquote", "div class=part"]), f"said {i} {j} &amp; {rng.random()}"
+            blocks.append(f"<{tag}>{said}</{tag.split()[0]}>")
+            text.append(said.replace("&amp;", "&"))
+        want[i] = "\n".join(text)
+        pages.append((i, f"http://h{host}.org/{i}", f"<html><body><div class=top>Host {host}</div><div class=links><a href='/x'>link {i}</a></div><div class=body>{''.join(blocks)}</div><p>Sold by {host}</p></body></html>"))
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_is_parsed_in_linear_time():
+    for page in ("<a " * 20_000, "<a b='" * 20_001, "<div>" * 20_000 + "x" + "</div>" * 20_000, "<" * 60_000, "<!--" * 20_000, "<i \"<i x>\" " * 10_000 + "'", "<div>" * 9_000 + "</b></span></q>" * 9_000):
+        began = time.perf_counter()
+        html_wrapper.blocks(page)
+        assert time.perf_counter() - began < 2
+    assert [t for _, t, _ in html_wrapper.blocks("<p>a < b <3 <p title='x>y'>c</p> <p title=\"z>d</p>")[1]] == ["a < b <3", "c", "d"]
+    assert [t for _, t, _ in html_wrapper.blocks("<div>" * 300 + "in" + "</div>" * 300 + "<p>out")[1]] == ["in", "out"]
+
+
+def test_wrapper_of_very_many_children():
+    r = random.Random(2)
+    trees = [html_wrapper.blocks(f"<section>{''.join(f'<div class=k{r.randrange(kinds)}>x</div>' for _ in range(3000))}</section>")[0] for kinds in (3, 3000, 3000)]
+    began = time.perf_counter()
+    wrapper = html_wrapper.align(html_wrapper.align(*trees[:2]), trees[2])
+    assert time.perf_counter() - began < 5
+    assert set(html_wrapper.slots(wrapper)) == set().union(*(html_wrapper.slots(t) for t in trees))
+
+
 def test_html_by_join_where_wrappers_are_many(spark, monkeypatch):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     near = {r.page_id: r.text for r in html_wrapper.extract(pages).collect()}
@@ -435,6 +510,10 @@ def test_wrapper_is_a_union_free_expression():
     trees = [html_wrapper.blocks(f"<div><h2>t</h2>{x}</div>")[0] for x in ("<p>a</p>", "<p>a</p><p>b</p>", "<ul><li>x</li></ul>")]
     wrapper = html_wrapper.align(html_wrapper.align(trees[0], trees[1]), trees[2])
     assert html_wrapper.expression(wrapper) == "<div><h2>#text</h2>(<p>#text</p>)*(<ul><li>#text</li></ul>)?</div>"
+    pairs = html_wrapper.blocks("<div>" + "<h2>t</h2><p>a</p>" * 1200 + "</div>")[0]
+    assert html_wrapper.expression(pairs) == "<div>(<h2>#text</h2><p>#text</p>)+</div>"
+    one = html_wrapper.blocks("<div><h2>t</h2><p>a</p></div>")[0]
+    assert html_wrapper.expression(html_wrapper.align(one, pairs)) == html_wrapper.expression(html_wrapper.align(pairs, one)) == "<div>(<h2>#text</h2><p>#text</p>)+</div>"
 
 
 # --- 8 near-duplicates ---------------------------------------------------------------------------
