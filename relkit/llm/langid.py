@@ -5,25 +5,28 @@ A text is lower-cased, every run of non-letters becomes one space, and its byte
 length 1.  Each language has CLUSTERS centroids from spherical k-means on its training
 texts.  The prediction is the language of the centroid of greatest cosine, the score
 that cosine.  A text is *rejected* if it is further from that centroid than its radius:
-its cosine is under REACH times what all but 1 in 100 of the centroid's training texts
-reach, and under MOST, so that short texts stay.
+its cosine is under REACH times what all but FAR of the language's training excerpts of
+that length reach.  Lengths go by powers of two of the letters' bytes, since a short text
+shares few n-grams with any centroid; excerpts of all lengths are cut from the training
+texts, so that short texts have a radius of their own.
 
 Training sees text and lang of labelled rows outside the held-out fold (crc32 of the
-doc_id mod 5 = 0) only.  It takes a sample of about PER_LANG rows a language, picked by
-the hash of doc_id, so its cost is bounded: centroids are languages x CLUSTERS x DIM
-floats, which is what is broadcast.
+doc_id mod 5 = 0) only.  It takes a sample of about PER_LANG distinct texts a language, of
+MOST_CHARS at most, picked by the hash of the text, so its cost and its bytes are bounded:
+centroids are languages x CLUSTERS x DIM floats, which is what is broadcast.
 
 Scale: a count by language (two columns), one filtered read for the sample, and one scan
 for the predictions without a shuffle.
 
 Edge cases: a null text or one without letters is `und` with score 0, and rejected; so
 is every text if there are no labelled rows.  A null doc_id is not held out and not
-trained on.  Repeated rows get the same result; extra columns are ignored by `predict`
+trained on.  Rows of one doc_id or one text count once in the sample.  Repeated rows get the same result; extra columns are ignored by `predict`
 and kept by `keep`.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +42,12 @@ DIM = 1 << 13
 CLUSTERS = 3
 #: About so many training rows a language.
 PER_LANG = 1500
-#: Rejected below this share of the cosine that all but FAR of the training texts reach, but never from MOST on.
-REACH, FAR = 0.5, 0.01
-MOST = 0.06
+#: Rejected below this share of the cosine that all but FAR of the training excerpts of a length reach.
+REACH, FAR = 0.6, 0.01
+#: Lengths, by powers of two of the letters' bytes; excerpts that a length needs to have its own quantile.
+BANDS, LEAST_EXCERPTS = 14, 50
+#: Longest text that is trained on.
+MOST_CHARS = 1 << 16
 #: More languages than this are an error: it bounds what is broadcast (about 100 KB a language).
 MOST_LANGS = 1000
 _ROWS = 512
@@ -80,6 +86,12 @@ def _lower(batch: pa.RecordBatch, most_rows: int = _ROWS) -> Iterator[tuple[int,
             yield at + lo, at + hi, off, raw
 
 
+def bands(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The length of each text, as the power of two of its letters' bytes."""
+    letters = np.diff(np.concatenate(([0], np.cumsum(_LETTER[raw])))[offsets])
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(int), BANDS - 1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -88,8 +100,8 @@ def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return _unit(np.log1p(found) * idf)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first starts: centroids, and the cosine that all but few of each one's members reach."""
+def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Centroids by spherical k-means from farthest-first starts."""
     picked = [_unit(x.mean(0, keepdims=True))[0]]
     near = x @ picked[0]
     for _ in range(min(k, len(x)) - 1):
@@ -101,10 +113,36 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndar
         centres = np.stack([_unit(x[of == j].mean(0, keepdims=True))[0] if (of == j).any() else centres[j] for j in range(len(centres))])
     # a cluster of a stray text or two is none of the language's
     size = np.bincount((x @ centres.T).argmax(1), minlength=len(centres))
-    centres = centres[size >= min(size.max(), max(3, len(x) / 100))]
-    cosine = x @ centres.T
-    of = cosine.argmax(1)
-    return centres, np.array([np.quantile(cosine[of == j, j], FAR) if (of == j).any() else 0.0 for j in range(len(centres))])
+    return centres[size >= min(size.max(), max(3, len(x) / 100))]
+
+
+def excerpts(texts: list[str]) -> Iterator[list[str]]:
+    """The texts, and from each one excerpt of every length of 4, 8, ... characters that it has."""
+    yield texts
+    for n in (1 << b for b in range(2, BANDS)):
+        yield [t[at : at + n] for t in texts if len(t) > n for at in [zlib.crc32(t.encode()) % (len(t) - n)]]
+
+
+def radii(texts: list[str], centres: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """By length: the cosine below which a text is too far from the language's nearest centroid; NaN where excerpts are too few."""
+    lengths, cosines = [], []
+    for part in excerpts(texts):
+        for _, _, off, raw in _lower(pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["text"])):
+            lengths.append(bands(off, raw))
+            cosines.append((vectors(counts(off, raw), idf) @ centres.T).max(1))
+    length, cosine = np.concatenate(lengths), np.concatenate(cosines)
+    parts = [cosine[length == b] for b in range(BANDS)]
+    return np.array([REACH * np.quantile(x, FAR) if len(x) >= LEAST_EXCERPTS else np.nan for x in parts])
+
+
+def filled(radius: np.ndarray) -> np.ndarray:
+    """languages x lengths without gaps: the least of the other languages, or else what the next shorter length has."""
+    least = np.where(np.isnan(radius), np.inf, radius).min(0)
+    out = np.where(np.isnan(radius), least, radius)
+    for b in range(radius.shape[1]):
+        if np.isinf(least[b]):
+            out[:, b] = out[:, b - 1] if b else 0.0
+    return out
 
 
 def fold(doc_id: Column) -> Column:
@@ -126,8 +164,8 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, clusters: int = CLUSTERS)
     share = stash(rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_lang / F.col("count")).alias("share")), "langid-share")
     if share.count() > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages: is lang the right column?")
-    picked = rows.join(F.broadcast(share), "lang").where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
-    sample = stash(picked.select("lang", "text"), "langid-sample")
+    picked = rows.join(F.broadcast(share), "lang").where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).where((F.length("text") <= MOST_CHARS) & F.col("text").rlike(r"\p{L}"))
+    sample = stash(picked.select("lang", "text").distinct(), "langid-sample")
     seen = {r.place: r.n for r in sample.select("text").mapInArrow(_frequencies, "place bigint, n double").groupBy("place").agg(F.sum("n").alias("n")).collect()}
     if not seen.get(-1):
         return None
@@ -135,14 +173,23 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, clusters: int = CLUSTERS)
     known = docs.sparkSession.sparkContext.broadcast(idf)
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        batch = pa.RecordBatch.from_pandas(group[["text"]].sort_values("text"), preserve_index=False)
-        x = np.concatenate([vectors(counts(off, raw), known.value) for _, _, off, raw in _lower(batch)])
-        centres, least = cluster(x, clusters)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype(np.float32).tobytes() for c in centres], "least": least.astype(float)})
+        texts = sorted(group["text"])
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        centres = cluster(np.concatenate([vectors(counts(off, raw), known.value) for _, _, off, raw in _lower(batch)]), clusters)
+        radius = radii(texts, centres, known.value).tolist()
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype(np.float32).tobytes() for c in centres], "radius": [radius] * len(centres)})
 
-    found = sample.groupBy("lang").applyInPandas(centroids, "lang string, centre binary, least double").collect()
+    found = sample.groupBy("lang").applyInPandas(centroids, "lang string, centre binary, radius array<double>").collect()
     found.sort(key=lambda r: (r.lang, bytes(r.centre)))
-    return {"idf": idf, "langs": np.array([r.lang for r in found]), "centres": np.stack([np.frombuffer(r.centre, np.float32) for r in found]), "radius": np.minimum(MOST, REACH * np.array([r.least for r in found]))}
+    return {"idf": idf, "langs": np.array([r.lang for r in found]), "centres": np.stack([np.frombuffer(r.centre, np.float32) for r in found]), "radius": filled(np.array([r.radius for r in found], float))}
+
+
+def nearest(model: dict, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest centroid of each text, its cosine, and whether it is too far."""
+    cosine = vectors(counts(offsets, raw), model["idf"]) @ model["centres"].T
+    best = cosine.argmax(1)
+    score = np.clip(cosine[np.arange(len(best)), best].astype(float), 0, 1)
+    return best, score, score < model["radius"][best, bands(offsets, raw)]
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -159,16 +206,13 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                 if m is None:
                     best, score, far, some = np.zeros(hi - lo, int), np.zeros(hi - lo), np.ones(hi - lo, bool), np.zeros(hi - lo, bool)
                 else:
-                    cosine = vectors(counts(off, raw), m["idf"]) @ m["centres"].T
-                    best = cosine.argmax(1)
-                    score = np.clip(cosine[np.arange(hi - lo), best].astype(float), 0, 1)
-                    far = score < m["radius"][best]
+                    best, score, far = nearest(m, off, raw)
                 langs.append(np.where(some, m["langs"][best] if m else "und", "und"))
                 scores.append(np.where(some, score, 0.0))
                 rejected.append(~some | far)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.concatenate(langs).tolist(), pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rejected))], names=["doc", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc bigint, lang_pred string, score double, rejected boolean")
+    return docs.select("doc", "text").mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def keep(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -181,9 +225,7 @@ def keep(docs: DataFrame, model: dict | None) -> DataFrame:
             letters = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             good = letters.copy()
             for lo, hi, off, raw in _lower(pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])) if m else ():
-                cosine = vectors(counts(off, raw), m["idf"]) @ m["centres"].T
-                best = cosine.argmax(1)
-                good[lo:hi] &= cosine[np.arange(hi - lo), best] >= m["radius"][best]
+                good[lo:hi] &= ~nearest(m, off, raw)[2]
             yield batch.filter(pa.array(good & (m is not None)))
 
     return docs.mapInArrow(run, docs.schema)

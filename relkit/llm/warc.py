@@ -3,8 +3,9 @@
 `write` makes archives (one row each, at most about ARCHIVE_BYTES long): a leading
 skippable frame that holds the dictionary, then one Zstandard frame for each record, so
 a record can be read alone by its offset.  The dictionary is built from a sample of about
-SAMPLE pages of at most SAMPLE_BYTES, picked by the hash of page_id: a bounded fit; a page
-that is not in the sample is stored in full all the same.  `read` takes the archives apart
+SAMPLE distinct payloads of at most SAMPLE_BYTES, picked by their digest: a bounded fit
+whatever ids or payloads repeat; a page that is not in the sample is stored in full all
+the same.  `read` takes the archives apart
 again and verifies the digest of every payload.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, that with the smallest
@@ -108,8 +109,9 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
     firsts = digested.where(F.octet_length("html") >= min_revisit).groupBy("payload_digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     firsts = stash(firsts, "payloads")
     typed = digested.join(firsts, "payload_digest", "left").withColumn("refers_to", F.expr("if(page <> first, first, null)"))
-    n = rows.count()
-    sample = rows.where(F.octet_length("html") <= SAMPLE_BYTES).where(F.pmod(F.xxhash64("page", "url"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30)).select("html")
+    short = rows.where(F.octet_length("html") <= SAMPLE_BYTES).select("html")
+    n = short.agg(F.approx_count_distinct("html")).first()[0]
+    sample = short.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30)).distinct()
     texts = [record(None, None, r.html.encode(), "", None, date) for r in sample.collect()]
     return typed.select("page", "url", "html", "payload_digest", "refers_to").mapInArrow(_write(build_dictionary(sorted(texts)), date, archive_bytes), "content binary, pages array<bigint>, offsets array<bigint>")
 

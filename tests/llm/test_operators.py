@@ -128,6 +128,27 @@ def test_language_edges(spark, edges, clashing):
     assert langid.keep(empty(spark), model).count() == 0
 
 
+def test_language_rejects_what_is_far_from_all_languages(spark):
+    model, r = langid.fit(documents(spark)), random.Random(4)
+    letters = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    junk = [letters("abcdefghijklmnopqrstuvwxyz ", n) for n in (100, 300, 3000)] + [letters("0123456789abcdef", n) for n in (300, 3000)] + [letters("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", n) for n in (200, 3000)]
+    junk += ["x" * 400, "qwer tzui asdf ghjk " * 20]
+    # a language that was not learnt, in the letters of those that were
+    junk += ["Litwo ojczyzno moja ty jestes jak zdrowie ile cie trzeba cenic ten tylko sie dowie kto cie stracil dzis pieknosc twa w calej ozdobie widze i opisuje bo tesknie po tobie " * 3]
+    got = langid.predict(spark.createDataFrame(list(enumerate(junk)), "doc bigint, text string"), model).collect()
+    assert all(x.rejected for x in got), [(x.doc, x.score) for x in got if not x.rejected]
+    clean = documents(spark).where("length(text) > 20")
+    assert langid.keep(clean, model).count() >= 0.99 * clean.count()
+
+
+def test_language_sample_is_bounded_on_repeats(spark):
+    """Rows of one doc_id, and rows of one text, are no single unit that comes in whole."""
+    rows = [(1, f"{x} der die das und", "de") for x in range(3000)] + [(i, "the of and to in is that", "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, per_lang=100)
+    assert set(model["langs"]) <= {"de", "en"} and "de" in model["langs"]
+
+
 # --- 2 decontamination --------------------------------------------------------------
 
 
@@ -663,6 +684,15 @@ def test_substring_edges(spark, clashing):
 # --- 10 WARC -------------------------------------------------------------------------------------------
 
 
+def test_warc_dictionary_sample_is_bounded_on_repeats(spark):
+    """Pages without ids, of two payloads a thousand times each and of many others once."""
+    html = F.when(F.col("id") < 2000, F.concat(F.lit("same payload "), F.col("id") % 2)).otherwise(F.concat(F.lit("<p>page "), F.sha2(F.col("id").cast("string"), 256)))
+    pages = spark.range(4000).select(F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("url"), html.alias("html"))
+    archives = warc.write(pages)
+    assert archives.where(F.hex(F.substring("content", 1, 4)) == "5D2A4D18").count() == archives.count() > 0
+    assert warc.read(archives).count() == 4000
+
+
 def test_warc(spark):
     body = "<p>payload</p>" * 20
     pages = spark.createDataFrame([(3, "http://a/3", body, 1), (1, "http://a/1 x\r\n", body, 1), (2, None, body, 1), (2, None, body, 1), (4, "u", "short", 1), (5, "u", "short", 1), (6, "u", None, 1), (None, "u", body, 1), (None, "u", "only" * 40, 1)], "page_id bigint, url string, html string, first int")
