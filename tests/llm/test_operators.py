@@ -349,6 +349,53 @@ def test_surrogates_stay_distinct(spark):
     assert not {out[i].text for i, _ in few} & {t for _, t in few}
 
 
+def test_names_are_one_person_with_and_without_title(spark):
+    said = [
+        "John Smith met Dr John Smith and Mr. Smith; JOHN SMITH left. Smith and John came back.",
+        "Contact: Alice Walker. My name is Zora Neale Hurston, Hurston for short. Mrs. Zora Quill.",
+        "Frau Jürgen-Meyer und Herr Meyer, Jean-Luc ist kein Name; Ирина Иванова, госпожа Иванова.",
+        "smith wrote to john, All Of The Above.",
+    ]
+    got = by_id(pii.replace(spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")))
+    m = re.fullmatch(r"(\w+) (\w+) met Dr (\w+) (\w+) and Mr\. (\w+); (\w+) (\w+) left\. (\w+) and (\w+) came back\.", got[0].text)
+    assert m and m[1] == m[3] == m[9] and m[2] == m[4] == m[5] == m[8] and (m[6], m[7]) == (m[1].upper(), m[2].upper()) and m[1].istitle()
+    assert not {"john", "smith"} & set(got[0].text.lower().split())
+    m = re.fullmatch(r"Contact: (\w+) (\w+)\. My name is (\w+) (\w+) (\w+), (\w+) for short\. Mrs\. (\w+) (\w+)\.", got[1].text)
+    assert m and m[5] == m[6] and m[3] == m[7] and m[1].endswith("a") and m[3].endswith("a")
+    assert not {"Alice", "Walker", "Zora", "Neale", "Hurston", "Quill"} & set(m.groups())
+    # consonants and vowels in turns, up to the ending
+    assert all(re.fullmatch(r"(?:[b-df-hj-np-tvz][aeiou])*[a-z]{1,3}", x.lower()) for x in (m[1], m[2], m[3], m[5]))
+    m = re.fullmatch(r"Frau (\w+-\w+) und Herr (\w+), Jean-Luc ist kein Name; ([А-Я]\w+) ([А-Я]\w+), госпожа (\w+)\.", got[2].text)
+    assert m and m[4] == m[5] and m[4].endswith("ва") and "Иванова" not in got[2].text and m[1].istitle()
+    assert got[3].text == said[3]
+
+
+def test_numbers_of_few_digits_never_run_out(spark):
+    rows = [(i, f"sum +1 {i // 10} {i % 10} end") for i in range(100)]
+    out = pii.replace(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r.doc_id, r.text) for r in out.collect()} == set(rows)
+    # more entities than there are of their length: those left over grow
+    few = spark.createDataFrame([("phone", f"{i:02d}") for i in range(100)] + [("surname", a + b) for a in "abcdefgh" for b in "abcdefgh"] + [("given", a) for a in "abcdefghijklmnopqrstuvwxyz"], "kind string, canonical string")
+    got = pii.surrogates(few).collect()
+    assert len(got) == 190 == len({(r.kind, r.surrogate) for r in got}) and not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.canonical) for r in got}
+
+
+def test_surrogates_over_the_whole_table(spark):
+    """Against an independent search for mail addresses, keys and card numbers: all go, equal ones to equal ones, others to others; the rest stays."""
+    docs = documents(spark)
+    before, after = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r.text or "" for r in pii.replace(docs).collect()}
+    plain = re.compile(r"[\w.]+@[\w.]+\.com\b|(?<![0-9a-zA-Z])[0-9a-f]{40}(?![0-9a-zA-Z])|(?<!\d)\d{16}(?!\d)")
+    after_plain = re.compile(r"[\w.]+@[\w.]+\.example\b|(?<![0-9a-zA-Z])[0-9a-f]{40}(?![0-9a-zA-Z])|(?<!\d)\d{16}(?!\d)")
+    pairs = set()
+    assert set(before) == set(after)
+    for i, text in before.items():
+        old, new = plain.findall(text), after_plain.findall(after[i])
+        assert len(old) == len(new)
+        pairs.update(zip(old, new))
+    assert len(pairs) > 5 and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+    assert not {a for a, _ in pairs} & {b for _, b in pairs}
+
+
 def test_surrogate_edges(spark, clashing):
     out = pii.replace(clashing)
     assert out.columns == clashing.columns and sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (t for _, t, *_ in EDGES)))
