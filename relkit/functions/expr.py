@@ -161,6 +161,10 @@ def now() -> Column:
     return F.localtimestamp()
 
 
+def utc_now() -> Column:
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+
+
 def today() -> Column:
     return F.current_date()
 

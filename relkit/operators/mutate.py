@@ -1,7 +1,8 @@
 """Mutations as pure transforms: a table before, a table after.
 
 A mutation returns a Change: the table after it, and the rows it touched, both lazy.
-Nothing is written; a unit of work (relkit.plans.session) holds tables until they are.
+Nothing is written (but for new rows that get automatic keys, see `create`); a unit of work
+(relkit.plans.session) holds tables until they are.
 """
 
 from __future__ import annotations
@@ -13,12 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relkit.entity import Entity, first_version, next_version
+from relkit.plans.shared import written
 
 
 class ConcurrencyError(RuntimeError):
     """A row was changed by another since it was read."""
 
 
+class MissingRowError(LookupError):
+    """A row that was to be changed is not there."""
+
+
 @dataclass(frozen=True)
 class Change:
     after: DataFrame
@@ -37,9 +43,9 @@ def _aligned(df: DataFrame, columns: list[str], like: DataFrame) -> DataFrame:
 def create(entity: Entity, base: DataFrame, new: DataFrame, order: list[str] | None = None) -> Change:
     """Adds rows: defaults and first versions are filled in, automatic keys go on from the greatest.
 
-    New keys follow the new rows' order (all their columns unless `order` says which).  They
-    are numbered by one sort of the new rows alone, in one task where they have no other
-    order: for bulk loads, bring keys along.
+    New keys follow the new rows' order (all their columns unless `order` says which).  The
+    rows are sorted by range and written to the shared folder; a key is the row's place in
+    its partition after the rows of the partitions before, so numbering is parallel.
     """
     rows = _aligned(new, base.columns, base)
     for p in entity.properties:
@@ -48,13 +54,24 @@ def create(entity: Entity, base: DataFrame, new: DataFrame, order: list[str] | N
         if p.version:
             rows = rows.withColumn(p.name, F.coalesce(p.name, first_version(p.version)).cast(base.schema[p.name].dataType))
         if p.auto_increment:
+            rows = _numbered(rows, order or [c for c in new.columns if c != p.name], "__nth")
             greatest = base.agg(F.coalesce(F.max(p.name), F.lit(0)).alias("__top"))
-            nth = F.row_number().over(Window.orderBy(*(order or [c for c in new.columns if c != p.name])))
-            rows = rows.withColumn("__nth", nth).join(greatest, how="cross").withColumn(p.name, (F.col("__top") + F.col("__nth")).cast(base.schema[p.name].dataType)).drop("__nth", "__top")
+            rows = rows.join(greatest, how="cross").withColumn(p.name, (F.col("__top") + F.col("__nth")).cast(base.schema[p.name].dataType)).drop("__nth", "__top")
     rows = rows.select(*base.columns)
     return Change(base.unionByName(rows), rows)
 
 
+def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in the order, from 1."""
+    # partition and place within it are the upper and lower bits of the id; written, as they hang on the sort
+    sorted_ = written(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted_.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # one row a partition
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return sorted_.withColumn("__part", part).join(before, "__part").withColumn(name, F.col("__before") + place + 1).drop("__at", "__part", "__before")
+
+
 def update(base: DataFrame, where: Column, **values) -> Change:
     """Sets columns of the rows for which `where` is true; every value is computed from the row before."""
     hit = F.coalesce(where, F.lit(False))
@@ -85,22 +102,24 @@ def latest(rows: DataFrame, key: str, arrival: str | Column) -> DataFrame:
 
 
 def upsert(entity: Entity, base: DataFrame, new: DataFrame, arrival: str | None = None) -> Change:
-    """New rows take the place of those with their key; of several of one key, the last to arrive counts."""
-    if arrival:
-        new = latest(new, entity.key, arrival)
+    """New rows take the place of those with their key; of several of one key, the last to arrive counts (in their own order, if no column says when)."""
+    new = latest(new, entity.key, arrival) if arrival else latest(new.withColumn("__at", F.monotonically_increasing_id()), entity.key, "__at").drop("__at")
     rows = _aligned(new, base.columns, base)
     return Change(base.join(rows.select(entity.key), entity.key, "left_anti").select(*base.columns).unionByName(rows), rows)
 
 
 @dataclass(frozen=True)
 class Versioned:
-    """After an update against versions: the table, the rows that got through, and those that did not."""
+    """After an update against versions: the table, the rows that got through, those that did not, and those that have no row to change."""
 
     after: DataFrame
     applied: DataFrame
     conflicts: DataFrame
+    missing: DataFrame
 
     def or_raise(self) -> DataFrame:
+        if not self.missing.isEmpty():
+            raise MissingRowError("rows that were to be changed are not there")
         if not self.conflicts.isEmpty():
             raise ConcurrencyError("rows were changed by another since they were read")
         return self.after
@@ -113,29 +132,33 @@ def update_versioned(entity: Entity, base: DataFrame, changed: DataFrame, *, res
     """Replaces rows by key if their version is still the one that was read, and moves it on.
 
     What else was changed is a conflict, left as it is unless a resolver makes a row of the
-    current (`c_`), incoming (`i_`) and original (`o_`) values.
+    current (`c_`), incoming (`i_`) and original (`o_`) values.  Several changed rows of one
+    key are all conflicts, which no resolver can settle: the first would move the version on.
     """
     v, key = entity.version, entity.key
     if v is None:
         raise ValueError(f"{entity.name} has no version column")
+    if original is None and getattr(resolver, "needs_original", False):
+        raise ValueError("merging needs the original rows: without them it can't be said which side changed a value")
     columns = base.columns
     current = base.select(*(F.col(c).alias(f"c_{c}") for c in columns))
     incoming = _aligned(changed, columns, base).select(*(F.col(c).alias(f"i_{c}") for c in columns))
     first = original if original is not None else changed.limit(0)
     firsts = _aligned(first, columns, base).select(*(F.col(c).alias(f"o_{c}") for c in columns))
-    both = incoming.join(current, F.col(f"i_{key}") == F.col(f"c_{key}")).join(firsts, F.col(f"o_{key}") == F.col(f"i_{key}"), "left")
-    fits = F.col(f"i_{v.name}").eqNullSafe(F.col(f"c_{v.name}"))
+    several = F.count("*").over(Window.partitionBy(f"i_{key}")) > 1
+    found = incoming.withColumn("__several", several).join(current, F.col(f"i_{key}") == F.col(f"c_{key}"), "left").join(firsts, F.col(f"o_{key}") == F.col(f"i_{key}"), "left")
+    missing, both = found.where(F.col(f"c_{key}").isNull()).drop("__several"), found.where(F.col(f"c_{key}").isNotNull())
+    fits = F.col(f"i_{v.name}").eqNullSafe(F.col(f"c_{v.name}")) & ~F.col("__several")
     moved = lambda c: next_version(v.version, F.col(f"c_{c}")).cast(base.schema[c].dataType)
     applied = both.where(fits).select(*((moved(c) if c == v.name else F.col(f"i_{c}")).alias(c) for c in columns))
     conflicts = both.where(~fits)
-    resolved = None
     if resolver:
-        made = resolver(conflicts, entity, columns)
-        resolved = made.select(*((moved(c) if c == v.name else F.col(c)).alias(c) for c in columns))
-        applied = applied.unionByName(resolved)
+        made = resolver(conflicts.where("not __several"), entity, columns)
         # rows whose resolution is the current row are neither applied nor in conflict
+        applied = applied.unionByName(made.select(*((moved(c) if c == v.name else F.col(c)).alias(c) for c in columns)))
+        conflicts = conflicts.where("__several")
     after = base.join(applied.select(key), key, "left_anti").select(*columns).unionByName(applied)
-    return Versioned(after, applied, conflicts.limit(0) if resolver else conflicts)
+    return Versioned(after, applied, conflicts.drop("__several"), missing)
 
 
 def client_wins(conflicts: DataFrame, entity: Entity, columns: list[str]) -> DataFrame:
@@ -161,6 +184,7 @@ def merge_changes(ignored: tuple[str, ...] = (), both: str = "incoming") -> Reso
         one = lambda c: F.col(f"c_{c}") if c in ignored or c == entity.key else merged(F.col(f"c_{c}"), F.col(f"i_{c}"), F.col(f"o_{c}"), both)
         return conflicts.select("*", *(one(c).alias(c) for c in columns))
 
+    resolve.needs_original = True
     return resolve
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from relkit.entity import Entity
 from relkit.functions.expr import Case, col
-from relkit.operators import includes
+from relkit.operators import includes, mutate
 from relkit.operators.grouping import Grouped
 from relkit.operators.windows import Windowed
 from relkit.sources.catalog import Catalog
@@ -96,10 +96,10 @@ class Query:
         return self._with("WHERE NOT IN", base=self.base.where(~col(key).isin(values)))
 
     def where_in_raw(self, key: str, sql: str) -> Query:
-        return self._with(f"WHERE {key} IN ({sql})", base=self.base.where(F.expr(f"{key} IN ({self._ctes()}{sql})")))
+        return self._with(f"WHERE {key} IN ({sql})", base=self.base.where(F.expr(f"{key} IN ({self._viewed(sql)})")))
 
     def where_not_in_raw(self, key: str, sql: str) -> Query:
-        return self._with(f"WHERE {key} NOT IN ({sql})", base=self.base.where(F.expr(f"{key} NOT IN ({self._ctes()}{sql})")))
+        return self._with(f"WHERE {key} NOT IN ({sql})", base=self.base.where(F.expr(f"{key} NOT IN ({self._viewed(sql)})")))
 
     def where_exists(self, sub: Query | DataFrame, on: Column | None = None) -> Query:
         """All rows or none, unless `on` ties the two together."""
@@ -149,7 +149,7 @@ class Query:
 
     def select_raw(self, sql: str) -> Query:
         """A SELECT list as SQL text."""
-        return self._with(f"SELECT {sql}", projection=tuple(F.expr(part) for part in _split_list(sql)))
+        return self._with(f"SELECT {sql}", projection=tuple(F.expr(part) for part in split_list(sql)))
 
     def with_column(self, name: str, column: Column) -> Query:
         return self._with(f"{name} = {column}", base=self.base.withColumn(name, column))
@@ -205,12 +205,14 @@ class Query:
             return ""
         return f"WITH {'RECURSIVE ' if any(r for _, _, r in self.ctes) else ''}" + ", ".join(f"{n} AS ({s})" for n, s, _ in self.ctes) + " "
 
-    def _sql(self, text: str) -> DataFrame:
+    def _viewed(self, text: str) -> str:
+        """The text after its CTEs, with a view of each of the catalogue's tables that it names."""
         text = self._ctes() + text
-        for table in {e.source for e in self.catalog.entities.values()}:
-            if re.search(rf"\b{re.escape(table)}\b", text):
-                self.catalog.frame(table).createOrReplaceTempView(table)
-        return self.catalog.spark.sql(text)
+        self.catalog.views(text)
+        return text
+
+    def _sql(self, text: str) -> DataFrame:
+        return self.catalog.spark.sql(self._viewed(text))
 
     # --- set operations, in the order of calls ------------------------------------
 
@@ -241,6 +243,11 @@ class Query:
 
     # --- results ------------------------------------------------------------------
 
+    def delete(self) -> mutate.Change:
+        """The entity's table without the rows of this query, by their key."""
+        table, gone = self.catalog.frame(self.entity.source), self.build().select(self.entity.key)
+        return mutate.Change(table.join(gone, self.entity.key, "left_anti").select(*table.columns), table.join(gone, self.entity.key, "left_semi").select(*table.columns))
+
     def build(self) -> DataFrame:
         df = self.base
         if self.unique:
@@ -302,7 +309,7 @@ def _values(sub: Query | DataFrame, key: str | None) -> DataFrame:
     return df.select(F.col(key).alias("__value"))
 
 
-def _split_list(sql: str) -> list[str]:
+def split_list(sql: str) -> list[str]:
     """At the commas outside parentheses and quotes."""
     out, depth, quote, start = [], 0, "", 0
     for i, c in enumerate(sql):
@@ -318,3 +325,16 @@ def _split_list(sql: str) -> list[str]:
             out.append(sql[start:i])
             start = i + 1
     return [x.strip() for x in [*out, sql[start:]]]
+
+
+def split_clause(sql: str, word: str) -> tuple[str, str | None]:
+    """What stands before and after a keyword outside parentheses and quotes."""
+    depth, quote = 0, ""
+    for m in re.finditer(rf"['\"`()]|\b{word}\b", sql, re.I):
+        if quote or m[0] in "'\"`":
+            quote = m[0] if not quote else "" if m[0] == quote else quote
+        elif m[0] in "()":
+            depth += 1 if m[0] == "(" else -1
+        elif not depth:
+            return sql[: m.start()], sql[m.end() :]
+    return sql, None

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relkit.entity import Entity, Property
 from relkit.functions import expr as e
 from relkit.functions import fulltext
 from relkit.model import ENTITIES, catalog
 from relkit.operators import mutate
 from relkit.operators.query import Query
-from relkit.plans.session import Session
+from relkit.plans.capture import Capture
+from relkit.plans.session import Session, current, scope
 from relkit.sources.repository import Repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +91,30 @@ def from_sql_params(c):
     return Repository(c, "orders").from_sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = ? AND o_totalprice > ?", ["F", 200000])
 
 
+@query("SELECT n_name AS name, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18,4))) AS DOUBLE) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def from_sql_tables(c):
+    """SQL over two tables, with names and types of its own."""
+    sql = "SELECT n_name, count(*), sum(CAST(c_acctbal AS DECIMAL(18,4))) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+    return Repository(c, "customer").from_sql(sql, result="name string, customers bigint, balance double")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 5")
+def read_single(c):
+    r = Repository(c, "customer")
+    none = r.read_single_or_default(F.col("c_custkey") < 0)
+    found = [x for x in (r.read_single(F.col("c_custkey") == 5), none) if x is not None]
+    return c.spark.createDataFrame([(x.c_custkey, x.c_name) for x in found], "c_custkey bigint, c_name string")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation")
+def iterate_rows(c):
+    """Rows one by one, and a job beside the caller."""
+    from relkit.streaming.cursor import Job, iterate
+
+    n = Job(c.frame("nation"), lambda d: d.count()).result(600)
+    return c.spark.createDataFrame([(n, sum(r.n_nationkey for r in iterate(c.frame("nation"))))], "n bigint, keys bigint")
+
+
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def from_raw(c):
     return q(c, "orders").from_raw("(SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment)")
@@ -238,6 +264,12 @@ def ternary(c):
     return q(c, "orders").where(F.col("o_orderdate") >= e.date(1995, 1, 1)).select("o_orderkey", size=e.iif(F.col("o_totalprice") > 100000, "big", "small"))
 
 
+@query("SELECT o_orderkey, o_orderdate < now()::TIMESTAMP AS past, o_orderdate < current_date AS before_today, true AS utc_past, [o_custkey, 7] AS pair, true AS some, false AS none FROM orders")
+def now_array_any(c):
+    d = F.col("o_orderdate")
+    return q(c, "orders").select("o_orderkey", past=d < e.now(), before_today=d < e.today(), utc_past=d < e.utc_now(), pair=e.array(F.col("o_custkey"), F.lit(7).cast("bigint")), some=e.any_of([1]), none=e.any_of([]))
+
+
 # --- joins ---------------------------------------------------------------------------
 
 
@@ -304,7 +336,6 @@ def where_not_in_with_null(c):
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")
 def where_in_raw(c):
-    c.frame("lineitem").createOrReplaceTempView("lineitem")
     return q(c, "part").where_in_raw("p_partkey", "SELECT l_partkey FROM lineitem WHERE l_quantity >= 50").where_not_in_raw("p_partkey", "SELECT l_partkey FROM lineitem WHERE l_discount > 0.09").select("p_partkey")
 
 
@@ -419,6 +450,7 @@ _window("win_rows_n", f"count(*) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLO
 _window("win_rows_unbounded", f"count(*) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, count(*) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f", lambda w: w.rows_unbounded_preceding().count("b").rows_unbounded_following().count("f"))
 _window("win_rows_between", f"max(o_totalprice) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS v, last_value(o_orderkey) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l", lambda w: w.rows_between("3 preceding", "1 preceding").max("v", "o_totalprice").rows_between("UNBOUNDED PRECEDING", "UNBOUNDED FOLLOWING").last_value("l", "o_orderkey"))
 _window("win_range_n", "count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS n, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b", lambda w: w.query.window("o_custkey", "o_totalprice").range(10000, 10000).count("n").range_unbounded_preceding().count("b"))
+_window("win_range_between", "count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 20000 PRECEDING AND 5000 PRECEDING) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN CURRENT ROW AND 30000 FOLLOWING) AS v, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f", lambda w: w.query.window("o_custkey", "o_totalprice").range_between("20000 PRECEDING", "5000 PRECEDING").count("n").range_between("CURRENT ROW", "30000 FOLLOWING").max("v", "o_totalprice").range_unbounded_following().count("f"))
 _window("win_multi", f"row_number() OVER ({_W}) AS n, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS r", lambda w: w.row_number("n").end().window("o_orderstatus").order_by_descending("o_totalprice").order_by("o_orderkey").rank("r"))
 
 
@@ -515,13 +547,16 @@ def fulltext_boolean(c):
     return q(c, "documents").where(fulltext.boolean('+licensed -apache +"under CC BY" +licens*', "text")).select("doc_id")
 
 
+@query(f"SELECT doc_id FROM documents WHERE list_contains({_WORDS}, 'licence') OR list_contains({_WORDS}, 'license') OR list_contains({_WORDS}, 'licensed')")
+def fulltext_expanded(c):
+    return q(c, "documents").where(fulltext.expanded("licence", "text", related={"licence": ["license", "licensed"]})).select("doc_id")
+
+
 # --- mutations ----------------------------------------------------------------------------------------
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_suppkey), s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def create_many(c):
-    from relkit.entity import Entity, Property
-
     base = c.frame("customer").select("c_custkey", "c_name", "c_acctbal")
     entity = Entity("customer", (Property("c_custkey", "bigint", primary_key=True, auto_increment=True), Property("c_name", "string"), Property("c_acctbal", "double")))
     new = c.frame("supplier").where("s_acctbal > 0").select("s_suppkey", F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
@@ -552,6 +587,42 @@ def _offline(c) -> DataFrame:
     return _versioned(c).where("c_custkey % 10 = 0").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), "c_acctbal", F.lit(1).alias("version"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 3 THEN upper(c_mktsegment) || c_acctbal::INTEGER ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def update_many(c):
+    values = lambda t: {"c_acctbal": t.c_acctbal + 10, "c_mktsegment": F.concat(F.upper(t.c_mktsegment), F.rint(t.c_acctbal).cast("int").cast("string"))}
+    return Repository(c, "customer").update_many(F.col("c_nationkey") == 3, values).after.select("c_custkey", "c_acctbal", "c_mktsegment")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'none'")
+def seed_and_initialize(c):
+    """An empty table is made and filled once; one that has rows is left as it is."""
+    s = Session(c)
+    kept = Repository(c, "region", s)
+    assert not kept.initialize() and kept.seed(kept.table) is None
+    fresh = Repository(c, Entity("fresh", (Property("r_regionkey", "int", primary_key=True), Property("r_name", "string"))), s)
+    assert fresh.initialize()
+    fresh.seed(kept.table.select("r_regionkey", "r_name").union(c.spark.createDataFrame([(99, "none")], "r_regionkey int, r_name string")))
+    assert fresh.seed(kept.table) is None
+    return fresh.table
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'in, debt (where = due)' ELSE c_mktsegment END AS c_mktsegment, c_acctbal * CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS c_acctbal, CAST((SELECT count(*) FROM customer WHERE c_acctbal < 0) AS BIGINT) AS updated, CAST((SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)) AS BIGINT) AS deleted, CAST(1 AS BIGINT) AS inserted FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) UNION ALL SELECT 0, 'NEW', 1.5, CAST((SELECT count(*) FROM customer WHERE c_acctbal < 0) AS BIGINT), CAST((SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)) AS BIGINT), CAST(1 AS BIGINT)")
+def execute_sql(c):
+    """Three statements, each with the number of rows it touched."""
+    r = Repository(c, "customer")
+    updated = r.execute_sql("UPDATE customer SET c_mktsegment = 'in, debt (where = due)', c_acctbal = c_acctbal * 2 WHERE c_acctbal < 0")
+    deleted = r.execute_sql("DELETE FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+    inserted = r.execute_sql("INSERT INTO customer (c_custkey, c_mktsegment, c_acctbal) SELECT 0, :segment, 1.5", {"segment": "NEW"})
+    n = {k: F.lit(v).cast("bigint").alias(k) for k, v in (("updated", updated), ("deleted", deleted), ("inserted", inserted))}
+    return r.table.select("c_custkey", "c_mktsegment", "c_acctbal", *n.values())
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' ORDER BY o_totalprice, o_orderkey LIMIT 200)")
+def delete_query(c):
+    found = q(c, "orders").include("customer").where(F.col("customer.c_mktsegment") == "BUILDING").order_by("o_totalprice", "o_orderkey").take(200)
+    return Repository(c, "orders").delete_query(found).after.select("o_orderkey")
+
+
 @query(f"SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 AND version = 1 THEN c_name || '*' ELSE c_name END AS c_name, CAST(CASE WHEN c_custkey % 10 = 0 AND version = 1 THEN 2 ELSE version END AS INTEGER) AS version FROM ({_VERSIONED})")
 def update_versioned(c):
     return mutate.update_versioned(c.entity("versioned_customer"), _versioned(c), _offline(c)).after.select("c_custkey", "c_name", "version")
@@ -605,6 +676,24 @@ def session_rollback(c):
     return r.table.agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(*) AS n FROM customer WHERE c_custkey > 10")
+def ambient_scope(c):
+    """Of two nested scopes, the inner one is not completed."""
+    with scope(c) as outer:
+        r = Repository(c, "customer", current())
+        r.delete_many(F.col("c_custkey") <= 10)
+        with scope():
+            r.delete_all()
+        outer.complete()
+    return r.table.agg(F.count("*").alias("n"))
+
+
+@query("SELECT true AS has_where, true AS has_plan, count(*) AS n FROM customer WHERE c_acctbal < 0")
+def capture_query(c):
+    found = Capture().run(q(c, "customer").where(F.col("c_acctbal") < 0))
+    return found.df.agg(F.lit("WHERE" in found.query).alias("has_where"), F.lit("Physical Plan" in found.plan).alias("has_plan"), F.count("*").alias("n"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def unique_violations(c):
     entity = c.entity("lineitem")

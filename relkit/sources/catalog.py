@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from relkit.entity import Entity
@@ -42,12 +44,18 @@ class Catalog:
             return False
         return True
 
+    def views(self, text: str) -> None:
+        """A temporary view of each of the entities' tables that some SQL names."""
+        for table in {e.source for e in self.entities.values()}:
+            if re.search(rf"\b{re.escape(table)}\b", text):
+                self.frame(table).createOrReplaceTempView(table)
+
     def sql(self, text: str, params: list | dict | None = None, tables: list[str] | None = None) -> DataFrame:
         """Raw SQL over the catalogue's tables, with `?` or `:name` parameters.
 
-        Frames are passed by reference ({name} in the text) or named in `tables`, in which
-        case a temporary view of that name is made.
+        Tables of entities that the text names, and those in `tables`, become temporary views.
         """
+        self.views(text)
         for name in tables or []:
             self.frame(name).createOrReplaceTempView(name)
         return self.spark.sql(text, args=params) if params else self.spark.sql(text)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from relkit.entity import Entity
 from relkit.functions.expr import col
 from relkit.operators import mutate
-from relkit.operators.query import Query, predicate
+from relkit.operators.query import Query, predicate, split_clause, split_list
 from relkit.plans.session import Session
 from relkit.sources.catalog import Catalog
 
@@ -19,6 +21,10 @@ class NotSingleError(LookupError):
     """A read of one row found none, or several."""
 
 
+def _shape(result: StructType | str) -> StructType:
+    return _parse_datatype_string(result) if isinstance(result, str) else result
+
+
 class Repository:
     def __init__(self, catalog: Catalog, entity: Entity | str, session: Session | None = None):
         self.entity = catalog.entity(entity) if isinstance(entity, str) else entity
@@ -73,8 +79,37 @@ class Repository:
     def iterate(self, p=None) -> Iterator[Row]:
         return self.read_many(p).toLocalIterator(prefetchPartitions=True)
 
-    def from_sql(self, sql: str, params: list | dict | None = None) -> DataFrame:
-        return self.catalog.sql(sql, params, [self.entity.source])
+    def from_sql(self, sql: str, params: list | dict | None = None, result: StructType | str | None = None) -> DataFrame:
+        """SQL over any of the catalogue's tables; `result` gives names and types to its columns, in order."""
+        out = self.catalog.sql(sql, params, [self.entity.source])
+        return out.toDF(*(shape := _shape(result)).names).to(shape) if result else out
+
+    def execute_sql(self, sql: str, params: list | dict | None = None) -> int:
+        """INSERT, UPDATE or DELETE text on this table, staged like other mutations; the number of rows it touched.
+
+        INSERT INTO t [(columns)] query, UPDATE t SET column = expression, ... [WHERE condition],
+        DELETE FROM t [WHERE condition]; conditions may hold subqueries.
+        """
+        change = self._statement(sql.strip().rstrip(";"), params)
+        n = change.count()
+        self._stage(change)
+        return n
+
+    def _statement(self, sql: str, params: list | dict | None) -> mutate.Change:
+        table = rf"`?{re.escape(self.entity.source)}`?"
+        self.catalog.views(sql)
+        if found := re.fullmatch(rf"INSERT\s+INTO\s+{table}\s*(?:\(([^()]*)\))?\s*((?:SELECT|VALUES|WITH)\b.*)", sql, re.I | re.S):
+            names = [x.strip(" `") for x in found[1].split(",")] if found[1] else self.table.columns
+            return mutate.create(self.entity, self.table, self.catalog.sql(found[2], params).toDF(*names))
+        if params:
+            raise ValueError("parameters are for INSERT; write other values into the text, or use update_many and delete_many")
+        if found := re.fullmatch(rf"UPDATE\s+{table}\s+SET\s+(.*)", sql, re.I | re.S):
+            given, where = split_clause(found[1], "WHERE")
+            pairs = [x.split("=", 1) for x in split_list(given)]
+            return mutate.update(self.table, F.expr(where or "true"), **{n.strip(" `\n\t"): F.expr(v) for n, v in pairs})
+        if found := re.fullmatch(rf"DELETE\s+FROM\s+{table}\s*(?:\bWHERE\b(.*))?", sql, re.I | re.S):
+            return mutate.delete(self.table, F.expr(found[1]) if found[1] else None)
+        raise ValueError(f"not an INSERT, UPDATE or DELETE of {self.entity.source}")
 
     def count(self, p=None) -> int:
         return self.read_many(p).count()
@@ -107,11 +142,12 @@ class Repository:
     def update(self, changed: DataFrame, *, strategy: str | mutate.Resolver = "throw", original: DataFrame | None = None) -> mutate.Versioned | mutate.Change:
         """Rows by key; with a version column, against it."""
         if self.entity.version is None:
-            known = self.table.select(self.entity.key)
-            return self._stage(mutate.upsert(self.entity, self.table, changed.join(known, self.entity.key, "left_semi")))
+            if not changed.join(self.table.select(self.entity.key), self.entity.key, "left_anti").isEmpty():
+                raise mutate.MissingRowError(f"rows of {self.entity.name} that were to be changed are not there")
+            return self._stage(mutate.upsert(self.entity, self.table, changed))
         resolver = mutate.RESOLVERS[strategy] if isinstance(strategy, str) else strategy
         out = mutate.update_versioned(self.entity, self.table, changed, resolver=resolver, original=original)
-        self.session.stage(self.entity.source, out.after if resolver else out.or_raise())
+        self.session.stage(self.entity.source, out.or_raise())
         return out
 
     def update_many(self, p, action: Callable[[DataFrame], dict]) -> mutate.Change:
@@ -142,15 +178,24 @@ class Repository:
         return self._stage(mutate.upsert(self.entity, self.table, rows, arrival))
 
     def _schema(self, columns: list[str]):
-        from pyspark.sql.types import StructField, StructType
-
         return StructType([StructField(c, self.table.schema[c].dataType) for c in columns])
 
+    def delete_query(self, query: Query) -> mutate.Change:
+        """The rows that a query over this entity finds, whatever its joins, order and pages."""
+        return self._stage(query.delete())
+
     # --- schema -------------------------------------------------------------------
 
     def validate(self) -> tuple[list[str], list[str]]:
         return self.entity.validate(self.table if self.catalog.has(self.entity.source) else None)
 
+    def initialize(self) -> bool:
+        """An empty table of the entity's columns, if there is none; whether it was made."""
+        if self.catalog.has(self.entity.source):
+            return False
+        self.session.stage(self.entity.source, self.catalog.spark.createDataFrame([], self.entity.schema()))
+        return True
+
     def seed(self, rows: DataFrame) -> mutate.Change | None:
         """Adds the rows if the table has none."""
         return self.create_many(rows) if self.table.isEmpty() else None

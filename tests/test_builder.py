@@ -10,7 +10,7 @@ from relkit.functions import expr as e
 from relkit.functions import fulltext
 from relkit.operators import mutate
 from relkit.operators.includes import IncludeError
-from relkit.operators.query import Query, _split_list
+from relkit.operators.query import Query, split_clause, split_list
 from relkit.operators.windows import CURRENT, UNBOUNDED_FOLLOWING, UNBOUNDED_PRECEDING, bound
 from relkit.plans.capture import Capture
 from relkit.plans.session import Session, current, scope
@@ -72,7 +72,7 @@ def test_order_and_pages(c):
 def test_raw_filter_escapes_its_values(c):
     assert q(c).where_raw("first = {0}", "O'Brien\\").count() == 0
     assert q(c).where_raw("age > {0} AND department = {1}", 29, "IT").count() == 2
-    assert _split_list("a, f(b, c), 'x,y' AS d") == ["a", "f(b, c)", "'x,y' AS d"]
+    assert split_list("a, f(b, c), 'x,y' AS d") == ["a", "f(b, c)", "'x,y' AS d"]
 
 
 def test_scalars_of_nothing(c):
@@ -220,6 +220,61 @@ def test_versions_and_resolvers(spark):
         after(mutate.merge_changes(both="throw"))
 
 
+def test_updates_of_rows_that_are_not_there_or_come_twice(spark, c):
+    entity = Entity("t", (Property("id", "int", primary_key=True), Property("a", "string"), Property("v", "int", version=VersionKind.INTEGER)))
+    schema = "id int, a string, v int"
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], schema)
+    gone = mutate.update_versioned(entity, base, spark.createDataFrame([(1, "x", 1), (7, "x", 1)], schema))
+    assert gone.applied.count() == 1 and gone.missing.count() == 1 and gone.after.count() == 2
+    with pytest.raises(mutate.MissingRowError):
+        gone.or_raise()
+    twice = spark.createDataFrame([(1, "x", 1), (1, "y", 1), (2, "z", 1)], schema)
+    for resolver in (None, mutate.client_wins):
+        out = mutate.update_versioned(entity, base, twice, resolver=resolver)
+        assert sorted(tuple(r) for r in out.after.collect()) == [(1, "a", 1), (2, "z", 2)] and out.conflicts.count() == 2
+        with pytest.raises(mutate.ConcurrencyError):
+            out.or_raise()
+    with pytest.raises(ValueError, match="original"):
+        mutate.update_versioned(entity, base, twice, resolver=mutate.merge_changes())
+    with pytest.raises(mutate.MissingRowError):
+        Repository(c, "people").update(spark.createDataFrame([(99, "No")], "id int, first string"))
+    # without a column that says when, rows arrive in their own order
+    many = spark.createDataFrame([(2, "p", 1), (2, "q", 1), (3, "r", 1)], schema)
+    assert sorted((r.id, r.a) for r in mutate.upsert(entity, base, many).after.collect()) == [(1, "a"), (2, "q"), (3, "r")]
+
+
+def test_keys_are_numbered_in_parallel(spark):
+    entity = Entity("t", (Property("id", "bigint", primary_key=True, auto_increment=True), Property("n", "bigint")))
+    base = spark.createDataFrame([(40, -1)], "id bigint, n bigint")
+    new = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("n")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = mutate.create(entity, base, new, order=["n"]).touched
+        assert made.rdd.getNumPartitions() > 1
+        assert sorted((r.id, r.n) for r in made.collect()) == [(41 + i, i) for i in range(1000)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_raw_subqueries_and_statements_see_the_catalogue(spark, c):
+    for name in ("books", "people", "companies"):
+        spark.catalog.dropTempView(name)
+    assert q(c, "companies").where_in_raw("id", "SELECT publisher_id FROM books").count() == 3
+    assert q(c, "companies").where_not_in_raw("id", "SELECT publisher_id FROM books WHERE publisher_id > 1").count() == 1
+    r = Repository(c, "people", Session(c))
+    assert [tuple(x) for x in r.from_sql("SELECT count(*), max(name) FROM people CROSS JOIN companies", result="n int, most string").collect()] == [(15, "Tech Solutions")]
+    assert r.execute_sql("update people set department = 'a = b, where c', age = age + 1 where id in (select author_id from books)") == 4
+    assert {x.department for x in r.read_many(F.col("id") < 5).collect()} == {"a = b, where c"} and r.table.where("id = 1").first().age == 31
+    assert r.execute_sql("DELETE FROM people WHERE salary > 50000;") == 2
+    assert r.execute_sql("INSERT INTO people (id, first) VALUES (8, 'Kim'), (9, 'Lou')") == 2 and r.count() == 5
+    assert r.execute_sql("DELETE FROM people") == 5 and r.count() == 0
+    for bad in ("SELECT 1", "DELETE FROM books", "MERGE INTO people"):
+        with pytest.raises(ValueError):
+            r.execute_sql(bad)
+    assert split_clause("a = 'x where y', b = (select 1 where true) WHERE c", "WHERE") == ("a = 'x where y', b = (select 1 where true) ", " c")
+    assert q(c).where(lambda t: t.age > 40).order_by("id").take(1).delete().after.count() == 4
+
+
 def test_session(c):
     s = Session(c)
     r = Repository(c, "people", s)
