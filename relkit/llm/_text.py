@@ -7,7 +7,6 @@ slice of such a batch with numpy, so no Python code runs per word.
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -17,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from relkit.plans.shared import shared_dir
+
 #: Bytes of text that are handled at once in a Python worker (one longer text stays whole).
 SLICE_BYTES = 2 << 20
 #: Bytes that are hashed at once; bounds the temporary arrays for one very long text.
@@ -38,17 +39,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="relkit-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 _STASHED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 

@@ -211,6 +211,40 @@ def test_line_dedup(spark, n):
     assert {x.row.doc_id: x.kept for x in found.collect()} == brute_lines(docs, n)
 
 
+def brute_runs(docs):
+    """The maximal runs that occur earlier, by comparing every pair of suffixes."""
+    seqs = {i: [x for x in t.split("\n") if x.strip(" ")] for i, t in docs}
+    places = sorted((i, p) for i, s in seqs.items() for p in range(len(s)))
+    out, reach = set(), {}
+    for at, (i, p) in enumerate(places):
+        best = (0, None)
+        for j, q in places[:at]:
+            n = 0
+            while p + n < len(seqs[i]) and q + n < len(seqs[j]) and seqs[i][p + n] == seqs[j][q + n]:
+                n += 1
+            best = max(best, (n, (-j, -q))) if n else best
+        if best[0] and p + best[0] > reach.get(i, 0):
+            out.add((i, p, best[0], -best[1][0], -best[1][1]))
+            reach[i] = p + best[0]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_maximal_runs_are_those_of_all_pairs_of_suffixes(spark, seed):
+    r = random.Random(seed)
+    docs = [(i, "\n".join(r.choice("abc") for _ in range(r.randint(0, 14)))) for i in range(14)]
+    long = [r.choice("defgh") for _ in range(37)]
+    docs += [(20, "\n".join(long)), (21, "\n".join(["x", *long[5:30], "y"])), (22, "\n".join(long[:9] + long[:9])), (23, "\n".join(long[3:36]))]
+    found = line_dedup.runs(spark.createDataFrame(docs, "doc bigint, text string")).collect()
+    assert {(x.doc, x.pos, x.length, *x.first) for x in found} == brute_runs(docs)
+
+
+def test_long_lines_are_cut_alone(spark):
+    words = " ".join(f"w{i}" for i in range(line_dedup.MIN_WORDS))
+    docs = spark.createDataFrame([(1, f"{words}\nshort"), (2, f"a\n{words}\nb\nshort\nc"), (3, words), (4, words[:-4])], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()} == {1: f"{words}\nshort", 2: "a\nb\nshort\nc", 4: words[:-4]}
+
+
 def test_line_dedup_edges(spark, clashing):
     more = clashing.union(clashing.where("doc_id = 4").withColumn("doc_id", F.lit(9).cast("bigint")))
     out = line_dedup.dedup(more, min_lines=1)
