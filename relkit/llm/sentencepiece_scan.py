@@ -10,10 +10,12 @@ and so on, is taken.  Scores are integers, so sums don't depend on their order.
 * A giant text (over GIANT characters) is split into chunks at any place.  The state at a
   chunk's boundary is how many characters the piece across it reaches into the next chunk.
   Each chunk gives a transfer matrix T[a, b], the best score from state a at its start to
-  state b at its end; in max-plus algebra matrices combine associatively.  From the right,
-  they give the best score after each boundary by state; with that, each chunk is traced
-  back independently, for each state it may be entered in; composing those maps from the
-  left gives the state of each boundary, and each chunk its pieces.
+  state b at its end; in max-plus algebra matrices combine associatively.  They are
+  combined in a tree of FAN branches, level by level over all tasks; from the root back
+  down, each node hands its branches the best score after each by state.  With that, each
+  chunk is traced back independently, for each state it may be entered in; those maps
+  compose associatively too, and a second tree gives the state of each boundary, and each
+  chunk its pieces.
 
 Model: a SentencePiece file (a parameter, read by the driver and broadcast).  A unigram
 model's scores are taken as they are.  A BPE model's are ranks of merges and don't add up,
@@ -22,7 +24,7 @@ spaces, dummy prefix, byte fallback) are the model's, the segmentation is the un
 rather than the merge order's.  Nothing is trained.
 
 Scale: a scan without a shuffle, but for giant texts, of which chunks are spread evenly
-and at most CHUNKS matrices of 2 KB meet in one task.
+and at most FAN matrices of 2 KB meet in one group, whatever the length of a text.
 
 Edge cases: a null text has null ids; an empty text has none; characters outside the
 vocabulary become bytes; the model takes U+2581 for a space, so a text that holds one
@@ -43,13 +45,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relkit.llm._text import gather, range_hashes, slices, stash
+from relkit.llm._text import discard, gather, range_hashes, slices, stash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 1 << 16
 CHUNK = 1 << 14
-#: Most chunks of one text: beyond, chunks get longer.
-CHUNKS = 1024
+#: Branches of a node of the trees in which chunks are combined.
+FAN = 16
 SCALE = 10_000
 #: As in SentencePiece: an unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -427,17 +429,50 @@ def _encode(known):
     return run
 
 
+def _scan(parts: DataFrame, combined, applied, start: bytes, *, backward: bool) -> DataFrame:
+    """(row, chunk, at) of parts(row, chunk, part): what `start` becomes through all parts before a chunk, or after it.
+
+    combined(x, y) joins two neighbouring parts, applied(x, at) takes a value through one.
+    """
+
+    def up(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        out, *rest = group["part"]
+        for x in rest:
+            out = combined(out, x)
+        return pd.DataFrame({"row": group["row"].iloc[:1], "chunk": [int(group["up"].iloc[0])], "part": [out]})
+
+    def down(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk", ascending=not backward)
+        at, out = group["at"].iloc[0], []
+        for x in group["part"]:
+            out.append(at)
+            at = applied(x, at)
+        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "at": out})
+
+    nodes = lambda df: df.withColumn("up", F.floor(F.col("chunk") / FAN).cast("int"))
+    levels = [parts]
+    while levels[-1].agg(F.max("chunk")).first()[0]:
+        levels.append(stash(nodes(levels[-1]).groupBy("row", "up").applyInPandas(up, "row bigint, chunk int, part binary"), "scan-up"))
+    at = levels[-1].select("row", "chunk", F.lit(bytearray(start)).alias("at"))
+    for level in levels[-2::-1]:
+        above = at.select("row", F.col("chunk").alias("up"), "at")
+        at = nodes(level).join(above, ["row", "up"]).groupBy("row", "up").applyInPandas(down, "row bigint, chunk int, at binary")
+    at = stash(at, "scan")
+    discard(*levels)
+    return at
+
+
 def _giant(rows: DataFrame, known) -> DataFrame:
     """(id, ids) of giant rows(id, text), by the chunked scan."""
-    wide = known.value.longest
+    wide, chunk = known.value.longest, CHUNK
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row, text in zip(batch["id"], batch["text"]):
                 said = known.value.normal(text)
-                core = max(CHUNK, -(-len(said) // CHUNKS))
-                for c, at in enumerate(range(0, len(said), core)):
-                    yield pd.DataFrame({"row": [row], "chunk": [c], "core": [min(core, len(said) - at)], "said": [said[at : at + core + wide - 1]]})
+                for c, at in enumerate(range(0, len(said), chunk)):
+                    yield pd.DataFrame({"row": [row], "chunk": [c], "core": [min(chunk, len(said) - at)], "said": [said[at : at + chunk + wide - 1]]})
 
     # chunks are few megabytes of much work: by number, or they would be put together by their size
     n = rows.agg(F.sum(F.ceil(F.length("text") / CHUNK))).first()[0]
@@ -446,42 +481,33 @@ def _giant(rows: DataFrame, known) -> DataFrame:
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "matrix": [known.value.transfer(s, c).tobytes() for s, c in zip(batch["said"], batch["core"])]})
+            yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "part": [known.value.transfer(s, c).tobytes() for s, c in zip(batch["said"], batch["core"])]})
 
-    def values(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        after = np.full(wide, _NEVER, np.int64)
-        after[0] = 0  # the text ends where a piece ends
-        out = []
-        for matrix in reversed(group["matrix"].tolist()):
-            out.append(after.tobytes())
-            after = combine(np.frombuffer(matrix, np.int64).reshape(wide, wide), after[:, None])[:, 0]
-        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "after": out[::-1]})
+    def matrix(part: bytes) -> np.ndarray:
+        return np.frombuffer(part, np.int64).reshape(wide, wide)
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = known.value
         for batch in batches:
-            maps = [v.exit(said, core, np.frombuffer(after, np.int64)) for said, core, after in zip(batch["said"], batch["core"], batch["after"])]
-            yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "exits": maps})
-
-    def entries(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        state, out = 0, []
-        for to in group["exits"]:
-            out.append(state)
-            state = int(to[state])
-        return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "state": out})
+            maps = [np.array(v.exit(said, core, np.frombuffer(after, np.int64)), np.int64).tobytes() for said, core, after in zip(batch["said"], batch["core"], batch["after"])]
+            yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "part": maps})
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = known.value
         for batch in batches:
-            found = [v.trace(said, core, np.frombuffer(after, np.int64), state) for said, core, after, state in zip(batch["said"], batch["core"], batch["after"], batch["state"])]
+            found = [v.trace(said, core, np.frombuffer(after, np.int64), state) for said, core, after, state in zip(batch["said"], batch["core"], batch["after"], (np.frombuffer(x, np.int64)[0] for x in batch["state"]))]
             yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "ids": found})
 
-    after = stash(chunks.select("row", "chunk", "said", "core").mapInPandas(matrices, "row bigint, chunk int, matrix binary").groupBy("row").applyInPandas(values, "row bigint, chunk int, after binary"), "values")
-    ready = chunks.join(after, ["row", "chunk"])
-    state = ready.mapInPandas(exits, "row bigint, chunk int, exits array<int>").groupBy("row").applyInPandas(entries, "row bigint, chunk int, state int")
-    ids = ready.join(state, ["row", "chunk"]).mapInPandas(trace, "row bigint, chunk int, ids array<int>")
+    end = np.full(wide, _NEVER, np.int64)
+    end[0] = 0  # the text ends where a piece ends
+    found = stash(chunks.select("row", "chunk", "said", "core").mapInPandas(matrices, "row bigint, chunk int, part binary"), "matrices")
+    after = _scan(found, lambda x, y: combine(matrix(x), matrix(y)).tobytes(), lambda x, at: combine(matrix(x), np.frombuffer(at, np.int64)[:, None])[:, 0].tobytes(), end.tobytes(), backward=True)
+    ready = chunks.join(after.withColumnRenamed("at", "after"), ["row", "chunk"])
+    maps = stash(ready.mapInPandas(exits, "row bigint, chunk int, part binary"), "exits")
+    # a map takes the states in which a chunk is entered to those in which it is left
+    follow = lambda x, at: np.frombuffer(x, np.int64)[np.frombuffer(at, np.int64)].tobytes()
+    state = _scan(maps, lambda x, y: follow(y, x), follow, np.zeros(1, np.int64).tobytes(), backward=False)
+    ids = ready.join(state.withColumnRenamed("at", "state"), ["row", "chunk"]).mapInPandas(trace, "row bigint, chunk int, ids array<int>")
     return ids.groupBy(F.col("row").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 

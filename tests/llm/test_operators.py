@@ -511,6 +511,7 @@ def test_transfer_matrices_combine(vocabulary):
 
 def test_sentencepiece_chunks(spark, vocabulary, clashing, monkeypatch):
     monkeypatch.setattr(sentencepiece_scan, "CHUNK", 100)
+    monkeypatch.setattr(sentencepiece_scan, "FAN", 3)
     texts = list(enumerate([*TEXTS, LONG[:3000], "的一是不了人我在有他这" * 90, None]))
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     for giant in (1 << 16, 150):
