@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relkit.llm._text import stash
+from relkit.llm._text import discard, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,11 +17,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = stash(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels")
+    before = labels
     while True:
         told = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("told"))
         near = labels.join(told, labels.id == told.a, "left").select("id", F.col("label").alias("was"), F.least("label", "told").alias("to"))
         up = labels.select(F.col("id").alias("to"), F.col("label").alias("up"))
         new = stash(near.join(up, "to", "left").select("id", "was", F.least("to", "up").alias("label")), "labels")
-        labels = new.select("id", "label")
+        discard(before)
+        before, labels = new, new.select("id", "label")
         if new.where("label < was").isEmpty():
+            discard(both)
             return labels

@@ -15,9 +15,9 @@ member is compared with two pivots, never with all others: the *hub*, which has
 companions over all its buckets (the original of a group of copies that each differ from
 it, and by more from each other), and one picked by hash.  Connected components join the
 links up.  A bucket whose members are still in several groups is *open*: the members of
-open buckets meet again in narrower ones, of 2, 4 and 8 neighbouring sketches that agree,
-with pivots of their own.  Unrelated texts part there, and each round only has what the
-one before left open.  Bucket counts, pivots and labels are pre-aggregated and joined
+open buckets meet again in narrower ones, of 4 neighbouring sketches that agree, with
+pivots of their own.  Unrelated texts part there, and a round only has what the one before
+left open.  Bucket counts, pivots and labels are pre-aggregated and joined
 back, so a hot bucket is a skewed join key, which Spark splits.  Texts stay where they
 are: what is shuffled is 200 bytes of sketches a document, and the packed shingles of
 documents that are in a candidate pair.
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relkit.llm._text import ALNUM, LOWER, Words, gather, mix, slices, stash
+from relkit.llm._text import ALNUM, LOWER, Words, discard, gather, mix, slices, stash
 from relkit.llm.components import components
 
 K = 5
@@ -54,7 +54,7 @@ SIMILARITY = 0.8
 SKETCHES = 24
 PER_SKETCH = 3
 #: Neighbouring sketches that agree in a bucket, round by round.
-DEPTHS = (1, 2, 4, 8)
+DEPTHS = (1, 4)
 #: Hashed places in which shingles are counted, and how many a row of counts holds.
 PLACES, _ROW = 1 << 20, 1 << 10
 #: Most candidate ids that are broadcast to pick their documents (16 bytes each); beyond, a shuffled join.
@@ -186,7 +186,9 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     """labels(id, label) with the groups at both ends of found(a, b) joined up."""
     between = _labelled(stash(found, "links"), labels).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
     joined = components(between).select(F.col("id").alias("label"), F.col("label").alias("to"))
-    return stash(labels.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    out = stash(labels.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    discard(labels)
+    return out
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -291,8 +293,7 @@ def _content(k: int):
         for batch in batches:
             for lo, hi, off, raw in slices(batch, "text"):
                 labels, first = shingles(Words(off, LOWER[raw], ALNUM), k)
-                low = labels.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(lo, hi - lo), pa.array([low[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["doc", "seq"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(lo, hi - lo), pa.array([labels[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["doc", "seq"])
 
     return run
 
@@ -300,7 +301,7 @@ def _content(k: int):
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [aligned(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), similarity) for x, y in zip(batch.column("seq_a"), batch.column("seq_b"))]
+            got = [aligned(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(batch.column("seq_a"), batch.column("seq_b"))]
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pa.array([x > 0 for x in got], pa.bool_()))
 
