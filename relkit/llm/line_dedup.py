@@ -13,7 +13,8 @@ Each document is a sequence of line IDs (its lines that are not blank).
    and its earliest member.
 3. `runs`: of these, the ones that no other of the document holds are its maximal repeated
    runs.  Each is a later copy of the run at its interval's earliest member, and is deleted,
-   if it has MIN_LINES lines; of a shorter one, the lines of MIN_WORDS words or more are.
+   if it has MIN_LINES lines; of a shorter one, the lines of MIN_WORDS words or more are
+   (none where min_words is None).
 
 Scale: suffixes whose first line occurs once are out before the first round, those whose
 class has one member after each, so a round is as long as what repeats at its length.
@@ -110,7 +111,7 @@ def runs(docs: DataFrame) -> DataFrame:
     return longest(doubling(docs)).withColumn("reach", reach).where("pos + length > reach").drop("reach")
 
 
-def _cut(min_lines: int, min_words: int):
+def _cut(min_lines: int, min_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed = [], [], []
@@ -125,7 +126,7 @@ def _cut(min_lines: int, min_words: int):
                         cut = set()
                         for r in copies.as_py():
                             run = own[r["pos"] : r["pos"] + r["length"]]
-                            cut.update(run if r["length"] >= min_lines else (i for i in run if len(_WORD.findall(lines[i])) >= min_words))
+                            cut.update(run if r["length"] >= min_lines else (i for i in run if min_words is not None and len(_WORD.findall(lines[i])) >= min_words))
                         gone = len(cut)
                         text = "\n".join(x for i, x in enumerate(lines) if i not in cut)
                 texts.append(text)
@@ -136,7 +137,7 @@ def _cut(min_lines: int, min_words: int):
     return run
 
 
-def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """row (all columns of docs but the text), kept (the text without later copies), n_lines (not blank) and n_removed."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
@@ -148,7 +149,7 @@ def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_line
     return rows.join(copies, "doc", "left").select("row", "copies").mapInArrow(_cut(min_lines, min_words), out)
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
     """docs with later copies of line runs cut out of `text`; rows of which no line is left go."""
     found = cut(docs, doc_id=doc_id, text=text, min_lines=min_lines, min_words=min_words).where("n_removed = 0 or n_removed < n_lines")
     return found.select(*(F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
