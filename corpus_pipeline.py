@@ -20,8 +20,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are cut out; documents of which nothing is left go."""
-    cut = line_dedup.dedup(docs)
+    """Later copies of runs of two lines or more are cut out; documents of which nothing is left go.
+
+    Single lines stay, however long: without every other line, a near copy would no longer be
+    near its original, and the next stage would keep what is left of it.
+    """
+    cut = line_dedup.dedup(docs, min_words=None)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
 
 
