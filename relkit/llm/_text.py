@@ -7,6 +7,7 @@ slice of such a batch with numpy, so no Python code runs per word.
 from __future__ import annotations
 
 import ctypes
+import functools
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -158,9 +159,12 @@ class Words:
         self.text = np.searchsorted(offsets, self.starts, "right") - 1
         #: words of text i are first[i] to first[i + 1]
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = range_hashes(data, self.starts, self.ends)
         self.offsets, self.inside = offsets, inside
 
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        return range_hashes(self.data, self.starts, self.ends)
+
     def joined(self) -> list[bytes]:
         """Each text's words, joined by one space."""
         keep = np.append(self.inside, False)

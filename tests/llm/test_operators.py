@@ -730,16 +730,21 @@ def test_components(spark):
 
 
 def brute_substrings(docs, k):
-    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs}
+    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in docs]
     first: dict = {}
-    for i in sorted(words):
-        for p in range(len(words[i]) - k + 1):
-            first.setdefault(tuple(words[i][p : p + k]), i)
-    out = {}
-    for i, w in words.items():
+    for i, w in sorted(words):
+        for p in range(len(w) - k + 1):
+            first.setdefault(tuple(w[p : p + k]), i)
+    out = []
+    for i, w in words:
         gone = {q for p in range(len(w) - k + 1) if first[tuple(w[p : p + k])] < i for q in range(p, p + k)}
-        out[i] = (len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone))
-    return out
+        out.append((i, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
+    return sorted(out)
+
+
+def found_substrings(spark, docs, **how):
+    found = substring_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), **how)
+    return sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in found.collect())
 
 
 def test_substrings(spark):
@@ -748,14 +753,34 @@ def test_substrings(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # runs of a key go over batches
     try:
         for k, m in ((4, 2), (6, 3), (3, 3)):
-            found = substring_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), k=k, m=m)
-            assert {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in found.collect()} == brute_substrings(docs, k)
+            assert found_substrings(spark, docs, k=k, m=m) == brute_substrings(docs, k)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     with pytest.raises(ValueError):
         substring_dedup.dedup(spark.createDataFrame(docs, "doc_id bigint, text string"), m=20)
 
 
+def test_substrings_of_colliding_edges(spark):
+    """Hashes of a few bits: most edges share one with others, and words decide."""
+    r = random.Random(19)
+    docs = [(i, " ".join(r.choice("abcde") for _ in range(r.randint(0, 60)))) for i in range(40)]
+    for bits in (2, 6, 9):
+        assert found_substrings(spark, docs, k=5, m=3, bits=bits) == brute_substrings(docs, 5)
+
+
+def test_substrings_of_long_copies(spark):
+    """Copies with changes here and there of a document of several blocks, and several rows of one doc_id."""
+    r = random.Random(29)
+    base = [f"w{r.randint(0, 400)}" for _ in range(700)]
+    docs = [(0, "  ".join(base))]
+    for i in range(1, 25):
+        w = list(base[r.randint(0, 300) :])
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"x{i}"
+        docs.append((i // 2, "\n".join(w)))  # two rows of each id, and two more of the first
+    assert found_substrings(spark, docs) == brute_substrings(docs, 13)
+
+
 def test_substring_edges(spark, clashing):
     found = substring_dedup.dedup(clashing.union(clashing.where("doc_id = 4").withColumn("doc_id", F.lit(9).cast("bigint"))))
     rows = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in found.collect())
