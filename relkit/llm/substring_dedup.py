@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
 from relkit.llm._text import NONSPACE, Words, covered, sliding_min, slices
 
@@ -59,7 +59,7 @@ BITS = 64
 
 
 def _grouped(keys: np.ndarray, docs: np.ndarray, at: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row for each key with its documents in order, each once, and the first place in each."""
+    """One row for each key with its documents in order, each once; with `at`, each is followed by the first place in it."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
@@ -68,11 +68,11 @@ def _grouped(keys: np.ndarray, docs: np.ndarray, at: np.ndarray | None = None) -
     head = np.ones(len(keys), bool)
     head[1:] = keys[1:] != keys[:-1]
     heads = np.flatnonzero(head)
-    bounds = pa.array(np.append(heads, len(keys)), pa.int32())
-    out = {"key": pa.array(keys[heads].view(np.int64)), "docs": pa.ListArray.from_arrays(bounds, pa.array(docs, pa.int64()))}
+    bounds = np.append(heads, len(keys))
     if at is not None:
-        out["at"] = pa.ListArray.from_arrays(bounds, pa.array(at[order][new], pa.int32()))
-    return pa.RecordBatch.from_pydict(out)
+        bounds, docs = 2 * bounds, np.column_stack((docs, at[order][new])).ravel()
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(docs, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(keys[heads].view(np.int64)), lists], names=["key", "docs"])
 
 
 def _lists(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -184,8 +184,9 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        bounds, (docs, at) = _lists(batch, "docs", "at")
-        of = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), np.diff(bounds))
+        bounds, (docs,) = _lists(batch, "docs")
+        docs, at = docs[::2], docs[1::2]
+        of = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), np.diff(bounds) // 2)
         head = np.ones(len(of), bool)
         head[1:] = of[1:] != of[:-1]
         head[0] = of[0] != last
@@ -201,7 +202,7 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bounds, (docs,) = _lists(batch, "docs")
-        yield _rows("doc key", docs, np.repeat(batch.column("key").to_numpy(zero_copy_only=False), np.diff(bounds)))
+        yield _rows("doc key", docs[::2], np.repeat(batch.column("key").to_numpy(zero_copy_only=False), np.diff(bounds) // 2))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,6 +344,11 @@ def _cut(k: int, bits: int):
     return run
 
 
+def _schema(keys: str, **others: DataType) -> StructType:
+    """Integers that are never null, and other columns."""
+    return StructType([*(StructField(x, LongType(), False) for x in keys.split()), *(StructField(x, t) for x, t in others.items())])
+
+
 def dedup(docs: DataFrame, *, k: int = K, m: int = M, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text: the kept words joined by one space), paths (the word ranges cut out)."""
     if not 0 < m <= k:
@@ -351,20 +357,21 @@ def dedup(docs: DataFrame, *, k: int = K, m: int = M, doc_id: str = "doc_id", te
         raise ValueError("bits must be between 1 and 64")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
     known = rows.where("doc is not null")
-    # documents are not null, as the schema says: no join filters them, so all joins share one exchange of the texts
-    packed = known.mapInArrow(_packed, StructType([StructField("doc", LongType(), False), StructField("zipped", BinaryType())]))
-    anchors = known.where("text is not null").mapInArrow(_anchors(k, m), "key bigint, docs array<bigint>")
-    solid = anchors.repartition("key").sortWithinPartitions("key", F.col("docs")[0]).mapInArrow(_several, "doc bigint, key bigint")
+    # keys are not null, as the schemas say: no join filters them, so all joins share one exchange of the texts and one of the edges
+    packed = known.mapInArrow(_packed, _schema("doc", zipped=BinaryType()))
+    anchors = known.where("text is not null").mapInArrow(_anchors(k, m), _schema("key", docs=ArrayType(LongType())))
+    solid = anchors.repartition("key").sortWithinPartitions("key", F.col("docs")[0]).mapInArrow(_several, _schema("doc key"))
     solid = solid.groupBy("doc").agg(F.collect_list("key").alias("solid"))
-    edges = packed.join(solid, "doc").mapInArrow(_candidates(k, m, bits), "key bigint, docs array<bigint>, at array<int>").repartition("key")
-    repeated = edges.sortWithinPartitions("key", F.col("docs")[0]).mapInArrow(_sources, "doc bigint, key bigint, src bigint, at int")
+    edges = packed.join(solid, "doc").mapInArrow(_candidates(k, m, bits), _schema("key", docs=ArrayType(LongType()))).repartition("key")
+    repeated = edges.sortWithinPartitions("key", F.col("docs")[0]).mapInArrow(_sources, _schema("doc key src", at=IntegerType()))
     repeated = repeated.groupBy("doc").agg(*(F.collect_list(x).alias(f"{x}s") for x in ("key", "src", "at")))
 
-    asked = packed.join(repeated, "doc").mapInArrow(_paths(k, bits), "src bigint, at bigint, size bigint, d1 bigint, d2 bigint")
+    asked = packed.join(repeated, "doc").mapInArrow(_paths(k, bits), _schema("src at size d1 d2"))
     asked = asked.repartition("src").distinct().groupBy(F.col("src").alias("doc")).agg(*(F.collect_list(x).alias(y) for x, y in (("at", "ats"), ("size", "sizes"), ("d1", "d1"), ("d2", "d2"))))
-    doubted = packed.join(asked, "doc").mapInArrow(_doubted(k, bits), "key bigint").distinct()
-    again = edges.join(doubted, "key", "left_semi").mapInArrow(_members, "doc bigint, key bigint").groupBy("doc").agg(F.collect_set("key").alias("doubted"))
-    told = packed.join(again, "doc").mapInArrow(_told(k, bits), "doc bigint, d1 bigint, d2 bigint")
+    doubted = packed.join(asked, "doc").mapInArrow(_doubted(k, bits), _schema("key")).distinct()
+    # no semi join: it would be pushed below the exchange of the edges, which is shared
+    again = edges.join(doubted, "key").mapInArrow(_members, _schema("doc key")).groupBy("doc").agg(F.collect_set("key").alias("doubted"))
+    told = packed.join(again, "doc").mapInArrow(_told(k, bits), _schema("doc d1 d2"))
     told = told.withColumn("least", F.min("doc").over(Window.partitionBy("d1", "d2")))
     sure = told.where("doc > least").groupBy("doc").agg(F.collect_list("d1").alias("d1"), F.collect_list("d2").alias("d2"))
 
