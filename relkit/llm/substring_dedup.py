@@ -367,7 +367,7 @@ def dedup(docs: DataFrame, *, k: int = K, m: int = M, doc_id: str = "doc_id", te
     repeated = repeated.groupBy("doc").agg(*(F.collect_list(x).alias(f"{x}s") for x in ("key", "src", "at")))
 
     asked = packed.join(repeated, "doc").mapInArrow(_paths(k, bits), _schema("src at size d1 d2"))
-    asked = asked.repartition("src").distinct().groupBy(F.col("src").alias("doc")).agg(*(F.collect_list(x).alias(y) for x, y in (("at", "ats"), ("size", "sizes"), ("d1", "d1"), ("d2", "d2"))))
+    asked = asked.distinct().groupBy(F.col("src").alias("doc")).agg(*(F.collect_list(x).alias(y) for x, y in (("at", "ats"), ("size", "sizes"), ("d1", "d1"), ("d2", "d2"))))
     doubted = packed.join(asked, "doc").mapInArrow(_doubted(k, bits), _schema("key")).distinct()
     # no semi join: it would be pushed below the exchange of the edges, which is shared
     again = edges.join(doubted, "key").mapInArrow(_members, _schema("doc key")).groupBy("doc").agg(F.collect_set("key").alias("doubted"))
